@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pageline.llm import media
+from pageline.llm import media, mixing, sharding
 
 QUERIES = {
+    "op7_cube_mix": mixing.op7_cube_mix,
     "op8_media_tiles": media.op8_media_tiles,
+    "op10_shards": sharding.op10_shards,
 }
 ORACLES: dict[str, str] = {}
