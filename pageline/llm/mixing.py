@@ -94,7 +94,8 @@ def _fly(rows: DataFrame, level: int) -> DataFrame:
     """One round: the blocks of each source fly; where a source is one block, what is left is landed."""
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["draw", "size"], kind="stable")
+        # the longest first, so that what is left to land is short
+        pdf = pdf.sort_values(["size", "draw"], ascending=[False, True], kind="stable")
         rng = np.random.default_rng([int(pdf["nth"].iloc[0]), int(pdf["block"].iloc[0]), level])
         size = pdf["size"].to_numpy(float)
         pi = flight(pdf["pi"].to_numpy(float), size, rng)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pageline.llm import media, mixing, sharding
+from pageline.llm import langid, media, mixing, sharding
 
 QUERIES = {
+    "op6_language_id": langid.op6_language_id,
     "op7_cube_mix": mixing.op7_cube_mix,
     "op8_media_tiles": media.op8_media_tiles,
     "op10_shards": sharding.op10_shards,
