@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pageline.llm import langid, media, mixing, sharding
+from pageline.llm import langid, media, mixing, sharding, tokens
 
 QUERIES = {
+    "op5_token_ids": tokens.op5_token_ids,
     "op6_language_id": langid.op6_language_id,
     "op7_cube_mix": mixing.op7_cube_mix,
     "op8_media_tiles": media.op8_media_tiles,
