@@ -224,7 +224,7 @@ def write_ids(df: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         docs, names, held, before, block = [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            cols = (pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before]), pa.array([held]), pa.array([names], pa.list_(pa.int64())), pa.array([code.encode(docs)], pa.binary()))
+            cols = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before]), pa.array([held]), pa.array([names], pa.list_(pa.int64())), pa.array([code.encode(docs)], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["part", "block", "before", "n_ids", "doc_ids", "data"])
 
         for batch in slices(batches, "ids"):
