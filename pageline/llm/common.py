@@ -74,3 +74,71 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+#: Base of the word hashes (odd, so it has an inverse modulo 2 ** 64), and bytes that are hashed together.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+PIECE_BYTES = 1 << 19
+_POWERS: list[np.ndarray] = []
+_IS_GAP = np.zeros(256, bool)
+_IS_GAP[[9, 10, 11, 12, 13, 32]] = True
+_VALUE = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * ~_IS_GAP
+_VALUE_LOWER = _VALUE.copy()
+_VALUE_LOWER[65:91] = _VALUE[97:123]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        n = max(n, PIECE_BYTES + 64)
+        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, _BASE_INV)]
+    return _POWERS[0], _POWERS[1]
+
+
+def _hash_piece(raw: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    gap = _IS_GAP[raw]
+    edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, ends
+    power, inverse = _powers(len(raw))
+    sums = np.add.reduceat(value[raw] * power[: len(raw)], starts)
+    return mix64(sums * inverse[starts] + (ends - starts).astype(np.uint64)), starts, ends
+
+
+def word_hashes(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in turn, and where each text's words begin (one more entry than texts).
+
+    ``lower``: A-Z count as a-z. Work goes by pieces, cut at white space, so a very long text needs no very long temporaries.
+    """
+    value = _VALUE_LOWER if lower else _VALUE
+    data = b"\n".join(t or b"" for t in texts)
+    raw = np.frombuffer(data, np.uint8)
+    hashes, places, at = [], [], 0
+    while at < len(raw):
+        end = min(at + PIECE_BYTES, len(raw))
+        while end < len(raw) and not _IS_GAP[raw[end]]:
+            end = min(end + 4096, len(raw))
+            gaps = np.flatnonzero(_IS_GAP[raw[max(at, end - 4096) : end]])
+            if len(gaps):
+                end = max(at, end - 4096) + int(gaps[-1])
+                break
+        h, starts, _ = _hash_piece(raw[at:end], value)
+        hashes.append(h)
+        places.append(starts + at)
+        at = end
+    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    place = np.concatenate(places) if places else np.zeros(0, np.int64)
+    begin = np.cumsum([0] + [len(t or b"") + 1 for t in texts])
+    return h, np.searchsorted(place, begin)
+
+
+def rolling(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all windows of ``size`` values (of the whole array; windows over a text's end are for the caller to drop)."""
+    if len(h) < size:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(h) - size + 1, np.uint64)
+    for k in range(size):
+        out *= _BASE
+        out += h[k : len(h) - size + 1 + k]
+    return mix64(out)

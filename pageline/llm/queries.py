@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pageline.llm import langid, media, mixing, sharding, tokens
+from pageline.llm import jaccard, langid, media, mixing, sharding, tokens
 
 QUERIES = {
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op5_token_ids": tokens.op5_token_ids,
     "op6_language_id": langid.op6_language_id,
     "op7_cube_mix": mixing.op7_cube_mix,
     "op8_media_tiles": media.op8_media_tiles,
     "op10_shards": sharding.op10_shards,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_jaccard_join": jaccard.ORACLE,
+}
