@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pageline.llm import jaccard, langid, media, mixing, sharding, tokens
+from pageline.llm import jaccard, langid, media, mixing, sharding, substrings, tokens
 
 QUERIES = {
+    "op2_substring_dedup": substrings.op2_substring_dedup,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op5_token_ids": tokens.op5_token_ids,
     "op6_language_id": langid.op6_language_id,
@@ -13,5 +14,6 @@ QUERIES = {
     "op10_shards": sharding.op10_shards,
 }
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": substrings.ORACLE,
     "op9_jaccard_join": jaccard.ORACLE,
 }
