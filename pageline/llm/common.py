@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,22 @@ GAP = r"[\x20\x09-\x0D]++"
 SLICE_BYTES = 4 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each context, so that their Python finds it wherever the driver runs."""
+    context = spark.sparkContext
+    if getattr(context, "_pageline_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="pageline-")) / "pageline.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for p in sorted(root.rglob("*.py")):
+            out.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(path))
+    context._pageline_shipped = True
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
