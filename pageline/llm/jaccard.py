@@ -7,11 +7,12 @@ places, the frequent shingles in it are dealt by hash into g parts, and since 1
 each pair within a part is indexed. g follows the size of the set; as similar sets differ in size by a factor of at most 1 / t, a
 document indexes its pairs for its own size class and the next, and no link is lost.
 
-Which shingles are frequent is read from counts of all shingles in ``BUCKETS`` hash buckets: those in buckets that stand out from the
-mean by ``STANDOUT`` standard deviations. A wrong class costs time, never a link.
+Which shingles are frequent is read from counts of all shingles in hash buckets (about ``BUCKET_LOAD`` shingles in each): those in
+buckets that stand out from the mean by ``STANDOUT`` standard deviations. A wrong class costs time, never a link.
 
 Documents that meet under an index entry are candidates: all pairs of a small group, but for large groups only the lowest id with each
-other one. Candidates are verified exactly, over their whole texts. Then, for large groups that still span several components, the
+other one. How many single shingles a pair shares in its prefixes bounds the whole overlap from above: what is not counted lies behind
+the prefix that ends first, or in large groups. Candidates that the bound leaves are verified exactly, over their whole texts. Then, for large groups that still span several components, the
 pairs across components follow, so that no link between them is missed. Equal sets are linked without being compared.
 
 Cases. Null and empty texts have no shingle, are linked with nothing and are their own component. Fewer than five words are one
@@ -35,7 +36,9 @@ from pageline.llm.graph import components
 WORDS = 5
 #: Least similarity in hundredths.
 LEAST = 75
-BUCKETS = 1 << 16
+#: Shingles of one hash bucket in which they are counted, about, and the most buckets (as a power of two).
+BUCKET_LOAD = 16
+MOST_BITS = 24
 STANDOUT = 8
 #: Documents under one index entry of which all pairs are candidates at once.
 SMALL = 16
@@ -80,16 +83,19 @@ def _size_class(n: int, least: int) -> int:
     return k
 
 
-def index_entries(shingles: np.ndarray, frequent: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """The entries of one set: single rare shingles, pairs of frequent ones."""
+def index_entries(shingles: np.ndarray, frequent: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, int, int]:
+    """The entries of one set: single rare shingles first, then pairs of frequent ones; how many singles; and where these end.
+
+    Singles that are all of the rare class end at infinity (the largest hash).
+    """
     n = len(shingles)
-    if not n:
-        return shingles
     need = -(-least * n // 100)
     if n == 1 or not frequent.any():
-        return shingles[: n - need + 1]
+        single = shingles[: n - need + 1]
+        return single, len(single), int(single[-1]) if len(single) < n else -1
     rare, common = shingles[~frequent], shingles[frequent]
-    out = [rare[: n - need + 1]]
+    single = rare[: n - need + 1]
+    out = [single]
     own = _size_class(n, least)
     for size_class in (own, own + 1):
         smallest = max(2.0, (100 / least) ** (size_class - 2))
@@ -103,21 +109,29 @@ def index_entries(shingles: np.ndarray, frequent: np.ndarray, least: int = LEAST
             x = held[first:last]
             i, j = np.triu_indices(len(x), 1)
             out.append(mix64(x[i] * np.uint64(0x9E3779B97F4A7C15) + mix64(x[j] + np.uint64(size_class))))
-    return np.concatenate(out)
+    return np.concatenate(out), len(single), int(single[-1]) if len(single) < len(rare) else -1
 
 
 def _counted(df: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
-    """Each document's set size and digest, the frequent buckets, and how many shingles there are. One pass over the texts."""
+    """Each document's set size and digest, the frequent buckets, and how many shingles there are.
+
+    Two passes: the first tells how many shingles there are, the second counts them in as many buckets as that asks for.
+    """
+    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # five bytes or more to a word and its gap, about
+    bits = max(16, min(MOST_BITS, int(size / 5 / BUCKET_LOAD).bit_length()))
+    shift = np.uint64(64 - bits)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(1 << bits, np.uint8)  # a task's share; counts over 255 stay there
         for batch in slices(batches, limit=PIECE):
             sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())
             if any(map(len, sets)):
-                total += np.bincount((np.concatenate(sets) >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+                at, n = np.unique((np.concatenate(sets) >> shift).astype(np.int64), return_counts=True)
+                total[at] = np.minimum(255, total[at] + n)
             yield _rows(batch.column(0), [len(s) for s in sets], [_digest(s) for s in sets], [None] * len(sets), [None] * len(sets))
-        for at in range(0, BUCKETS, 1024):
-            yield _rows(pa.array([None], pa.int64()), [None], [None], [at], [total[at : at + 1024].astype("<i8").tobytes()])
+        for at in range(0, len(total), 1 << 14):
+            yield _rows(pa.array([None], pa.int64()), [None], [None], [at >> 14], [total[at : at + (1 << 14)].tobytes()])
 
     def _rows(ids, n, digest, block, counts) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(block, pa.int32()), pa.array(counts, pa.binary())], ["doc_id", "n", "digest", "block", "counts"])
@@ -126,16 +140,20 @@ def _counted(df: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[block] = sums.get(block, 0) + np.frombuffer(data, "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
+                got = np.frombuffer(data, np.uint8).astype(np.uint32)
+                sums[block] = sums[block] + got if block in sums else got
+        blocks = list(sums)
+        mean = [float(sums[b].mean()) for b in blocks]
+        bitmap = [np.packbits(sums[b] > m + STANDOUT * max(1.0, m**0.5)).tobytes() for b, m in zip(blocks, mean, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(bitmap, pa.binary())], ["block", "bitmap"])
 
     both = written(df.mapInArrow(work, "doc_id long, n long, digest binary, block int, counts binary"), "shingle-counts")
-    counts = both.filter("block is not null").select("block", "counts").repartition(BUCKETS // 1024, "block").mapInArrow(add, "block int, counts binary")
-    table = np.zeros(BUCKETS, np.int64)
-    for r in counts.collect():  # BUCKETS numbers, whatever the table holds
-        table[r.block : r.block + 1024] = np.frombuffer(r.counts, "<i8")
-    mean = table.mean()
-    return both.filter("block is null").select("doc_id", "n", "digest"), table > mean + STANDOUT * max(1.0, mean**0.5), int(table.sum())
+    narrow = both.filter("block is null").select("doc_id", "n", "digest")
+    counts = both.filter("block is not null").select("block", "counts").repartition("block").mapInArrow(add, "block int, bitmap binary")
+    hot = np.zeros(1 << bits, bool)
+    for r in counts.collect():  # one bit a bucket, 2 MB at most
+        hot[r.block << 14 : (r.block + 1) << 14] = np.unpackbits(np.frombuffer(r.bitmap, np.uint8)).astype(bool)
+    return narrow, hot, int(narrow.agg(F.sum("n")).first()[0] or 0)
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -143,13 +161,27 @@ def _digest(s: np.ndarray) -> bytes:
     return struct.pack("<QQ", int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix64(s + np.uint64(0x632BE59BD9B4E019)))) if len(s) else 0)
 
 
-def _index(df: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
-    """Packed index entries: rows part, data; data holds documents (id, size, digest) and entries (hash, document)."""
+def _bytes_apart(x: np.ndarray) -> bytes:
+    """Little-endian bytes of integers, all first bytes first: high bytes of small numbers then pack to nothing."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _bytes_together(data: bytes, at: int, n: int, dtype: str) -> tuple[np.ndarray, int]:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T).view(dtype).reshape(-1), at + n * width
+
+
+def _index(df: DataFrame, frequent: np.ndarray, parts: int, least: int) -> DataFrame:
+    """Packed index entries, rows part and data: of each document its id, size, digest, entries; pairs carry the lowest bit, singles none.
+
+    Rows of negative parts tell of each document its id, size, number of singles and where these end.
+    """
     packed_bits = np.packbits(frequent).tobytes()
+    shift = np.uint64(64 - (len(frequent).bit_length() - 1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = np.unpackbits(np.frombuffer(packed_bits, np.uint8)).astype(bool)
-        docs: list[tuple[int, int, bytes]] = []
+        docs: list[tuple[int, int, int, int, int]] = []
         held: list[np.ndarray] = []
         count = 0
 
@@ -159,23 +191,26 @@ def _index(df: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
             part = (mix64(entries) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             entries, of, part = entries[order], of[order], part[order]
-            ids = np.array([x[0] for x in docs], "<i8")
-            sizes = np.array([x[1] for x in docs], "<u4")
-            digests = np.frombuffer(b"".join(x[2] for x in docs), "V16")
+            ids, sizes, digests, singles, ends = (np.array(x, t) for x, t in zip(zip(*docs, strict=True), ("<i8", "<u4", "<u8", "<u4", "<i8"), strict=True))
             cut = np.flatnonzero(np.diff(part, prepend=-1))
-            names, blobs = part[cut].tolist(), []
+            names, blobs = [-1 - int(ids[0]) % parts], [struct.pack("<I", len(ids)) + ids.tobytes() + sizes.tobytes() + singles.tobytes() + ends.tobytes()]
             for first, last in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True):
-                used, local = np.unique(of[first:last], return_inverse=True)
-                blobs.append(struct.pack("<II", len(used), last - first) + ids[used].tobytes() + sizes[used].tobytes() + digests[used].tobytes() + local.astype("<u4").tobytes() + entries[first:last].tobytes())
+                new = first + np.flatnonzero(np.diff(of[first:last].astype(np.int64), prepend=-1))
+                used, n = of[new], np.diff(np.append(new, last)).astype("<u4")
+                names.append(int(part[first]))
+                blobs.append(struct.pack("<II", len(used), last - first) + _bytes_apart(ids[used]) + _bytes_apart(sizes[used]) + _bytes_apart(n) + digests[used].tobytes() + entries[first:last].tobytes())
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["part", "data"])
 
         for batch in slices(batches, limit=PIECE):
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).cast(pa.binary()).to_pylist()), strict=True):
                 if doc is None or not len(s):
                     continue
-                held.append(index_entries(s, hot[(s >> np.uint64(48)).astype(np.int64)]))
-                docs.append((doc, len(s), _digest(s)))
-                count += len(held[-1])
+                entries, single, end = index_entries(s, hot[(s >> shift).astype(np.int64)], least)
+                entries = entries & ~np.uint64(1)
+                entries[single:] |= np.uint64(1)
+                held.append(entries)
+                docs.append((doc, len(s), int.from_bytes(_digest(s)[:8], "little"), single, end >> 1 if end >= 0 else (1 << 63) - 1))
+                count += len(entries)
                 if count >= 1_000_000:
                     yield flush()
                     docs, held, count = [], [], 0
@@ -186,54 +221,70 @@ def _index(df: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
-    n, m = struct.unpack_from("<II", data)
-    ids = np.frombuffer(data, "<i8", n, 8)
-    sizes = np.frombuffer(data, "<u4", n, 8 + 8 * n)
-    digests = np.frombuffer(data, "<u8", 2 * n, 8 + 12 * n).reshape(n, 2)
-    local = np.frombuffer(data, "<u4", m, 8 + 28 * n)
-    entries = np.frombuffer(data, "<u8", m, 8 + 28 * n + 4 * m)
-    return ids[local], sizes[local], digests[local, 0] ^ mix64(digests[local, 1]), entries
+    docs, m = struct.unpack_from("<II", data)
+    ids, at = _bytes_together(data, 8, docs, "<i8")
+    sizes, at = _bytes_together(data, at, docs, "<u4")
+    n, at = _bytes_together(data, at, docs, "<u4")
+    digests = np.frombuffer(data, "<u8", docs, at)
+    return np.repeat(ids, n), np.repeat(sizes, n), np.repeat(digests, n), np.frombuffer(data, "<u8", m, at + 8 * docs)
 
 
 def _groups(blobs: list[bytes], least: int, small: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (lower id first) and, of large groups, entry and document."""
+    """Candidate pairs (lower id first) with how many singles they share here; of large groups entry, document and whether it is a single."""
     ids, sizes, digests, entries = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
-    order = np.lexsort((ids, entries))
-    ids, sizes, digests, entries = ids[order], sizes[order].astype(np.int64), digests[order], entries[order]
     # of equal sets under an entry the lowest id stays: they are linked elsewhere
     by = np.lexsort((ids, digests, entries))
-    again = np.zeros(len(by), bool)
-    again[by[1:]] = (entries[by[1:]] == entries[by[:-1]]) & (digests[by[1:]] == digests[by[:-1]])
-    ids, sizes, entries = ids[~again], sizes[~again], entries[~again]
-    first = np.flatnonzero(np.diff(entries, prepend=entries[:1] ^ np.uint64(1)))
+    ids, sizes, digests, entries = ids[by], sizes[by].astype(np.int64), digests[by], entries[by]
+    new = np.concatenate([[True], (entries[1:] != entries[:-1]) | (digests[1:] != digests[:-1])])
+    ids, sizes, entries = ids[new], sizes[new], entries[new]
+    first = np.flatnonzero(np.concatenate([[True], entries[1:] != entries[:-1]]))
     n = np.diff(np.append(first, len(entries)))
+    keep = np.repeat(n > 1, n)
+    ids, sizes, entries, n = ids[keep], sizes[keep], entries[keep], n[n > 1]
+    order = np.lexsort((ids, entries))
+    ids, sizes, entries = ids[order], sizes[order], entries[order]
+    first = np.cumsum(n) - n
     nth = np.arange(len(entries)) - np.repeat(first, n)
-    size_of_group = np.repeat(n, n)
-    pairs = [np.zeros((0, 2), np.int64)]
+    size_of_group, single = np.repeat(n, n), (entries & np.uint64(1)) == 0
+    pairs = [np.zeros((0, 3), np.int64)]
     for back in range(1, small):
         at = np.flatnonzero((size_of_group <= small) & (nth >= back))
         if len(at):
-            fits = 100 * np.minimum(sizes[at], sizes[at - back]) >= least * np.maximum(sizes[at], sizes[at - back])
-            pairs.append(np.stack([ids[at - back][fits], ids[at][fits]], 1))
+            at = at[100 * np.minimum(sizes[at], sizes[at - back]) >= least * np.maximum(sizes[at], sizes[at - back])]
+            pairs.append(np.stack([ids[at - back], ids[at], single[at].astype(np.int64)], 1))
     large = size_of_group > small
     star = np.flatnonzero(large & (nth > 0))
-    pairs.append(np.stack([ids[np.repeat(first, n)[star]], ids[star]], 1))
-    return np.unique(np.concatenate(pairs), axis=0), np.stack([entries[large].view(np.int64), ids[large]], 1)
+    pairs.append(np.stack([ids[np.repeat(first, n)[star]], ids[star], np.zeros(len(star), np.int64)], 1))
+    both = np.concatenate(pairs)
+    both = both[np.lexsort((both[:, 1], both[:, 0]))]
+    new = np.flatnonzero(np.concatenate([[True], (both[1:, :2] != both[:-1, :2]).any(axis=1)])) if len(both) else np.zeros(0, np.int64)
+    shared = np.add.reduceat(both[:, 2], new) if len(both) else both[:, 2]
+    return np.column_stack([both[new, :2], shared]), np.stack([entries[large].view(np.int64), ids[large], single[large].astype(np.int64)], 1)
 
 
 def _candidates(index: DataFrame, least: int, small: int) -> DataFrame:
-    """kind 0: pairs a, b; kind 1: members of large groups (a: entry, b: document). A task holds one part at a time."""
+    """kind 0: pairs a, b, singles shared; kind 1: members of large groups (entry, document, 1 if a single); kind 2: documents (id, size,
+    singles, and in d where these end). A task holds one part at a time."""
+
+    def rows(kind: int, x: np.ndarray, d: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(x), 100_000):
+            y = x[at : at + 100_000]
+            more = np.zeros(len(y), np.int64) if d is None else d[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), kind, np.int32)), *(pa.array(y[:, k].copy()) for k in range(3)), pa.array(more)], ["kind", "a", "b", "c", "d"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[pa.RecordBatch]:
-            for kind, rows in enumerate(_groups(held, least, small)):
-                for at in range(0, len(rows), 100_000):
-                    x = rows[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], ["kind", "a", "b"])
+            for kind, x in enumerate(_groups(held, least, small)):
+                yield from rows(kind, x)
 
         held, now = [], None
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part < 0:
+                    n = struct.unpack_from("<I", data)[0]
+                    cols = [np.frombuffer(data, t, n, 4 + k * n).astype(np.int64) for t, k in (("<i8", 0), ("<u4", 8), ("<u4", 12), ("<i8", 16))]
+                    yield from rows(2, np.stack(cols[:3], 1), cols[3])
+                    continue
                 if part != now and held:
                     yield from found()
                     held = []
@@ -242,7 +293,20 @@ def _candidates(index: DataFrame, least: int, small: int) -> DataFrame:
         if held:
             yield from found()
 
-    return index.repartition("part").sortWithinPartitions("part").mapInArrow(work, "kind int, a long, b long")
+    return index.repartition("part").sortWithinPartitions("part").mapInArrow(work, "kind int, a long, b long, c long, d long")
+
+
+def _possible(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b, c singles shared) whose overlap can reach what ``least`` asks for.
+
+    Uncounted are at most the shingles of the document whose singles end first that are no singles, or singles of large groups.
+    """
+    for side in ("a", "b"):
+        pairs = pairs.join(docs.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "rest", "end"))), side)
+    asked = F.ceil(F.lit(least) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + least))
+    rest = F.when(F.col("end_a") < F.col("end_b"), F.col("rest_a")).when(F.col("end_a") > F.col("end_b"), F.col("rest_b")).otherwise(F.least("rest_a", "rest_b"))
+    fits = 100 * F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")
+    return pairs.filter(fits & (F.col("c") + rest >= asked)).select("a", "b")
 
 
 def _packed_texts(df: DataFrame) -> DataFrame:
@@ -286,28 +350,34 @@ def link_documents(df: DataFrame, least: int = LEAST, small: int = SMALL) -> Dat
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     narrow, frequent, total = _counted(docs)
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * (101 - least) // (100 * PART_ENTRIES)))
-    found = written(_candidates(_index(docs, frequent, parts), least, small), "candidates")
+    found = written(_candidates(_index(docs, frequent, parts, least), least, small), "candidates")
     same = narrow.filter("n > 0 and doc_id is not null")
     same = same.join(same.groupBy("digest", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "first"), "digest")
     same = same.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    pairs = written(found.filter("kind = 0").select("a", "b").distinct(), "pairs")
-    texts = written(_packed_texts(docs).join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidate-texts", "uncompressed")
-    links = written(verified(pairs, texts, least).unionByName(same), "links")
+    member = found.filter("kind = 1").select(F.col("a").alias("entry"), F.col("b").alias("doc_id"), F.col("c").alias("single"))
+    apart = member.groupBy("doc_id").agg(F.sum("single").alias("apart"))
+    about = found.filter("kind = 2").groupBy(F.col("a").alias("doc_id")).agg(F.max("b").alias("n"), F.min("c").alias("singles"), F.min("d").alias("end"))
+    about = written(about.join(apart, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.col("singles") + F.coalesce("apart", F.lit(0))).alias("rest"), "end"), "documents")
+    met = found.filter("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    pairs = written(_possible(met, about, least), "pairs")
+    packed = _packed_texts(docs)
+
+    links = written(verified(pairs, packed, least).unionByName(same), "links")
     labels = components(links)
     # large groups that span several components: the pairs across them
-    member = found.filter("kind = 1").select(F.col("a").alias("entry"), F.col("b").alias("doc_id"))
     if not member.isEmpty():
-        member = member.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").join(narrow.select("doc_id", "n").distinct(), "doc_id")
-        member = member.select("entry", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+        member = member.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").join(about.select("doc_id", "n"), "doc_id")
+        member = member.select("entry", "single", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
         split = member.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("entry")
         member = written(member.join(split, "entry"), "split-groups")
         if not member.isEmpty():
             other = member.select("entry", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("k"))
             fits = 100 * F.least("n", "m") >= least * F.greatest("n", "m")
             across = member.withColumnRenamed("doc_id", "a").join(other, "entry").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("k")) & fits)
-            across = written(across.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs-across")
+            across = across.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti").join(met, ["a", "b"], "left").select("a", "b", F.coalesce("c", F.lit(0)).alias("c"))
+            across = written(_possible(across, about, least), "pairs-across")
             if not across.isEmpty():
-                labels = components(links.unionByName(verified(across, texts, least)))
+                labels = components(links.unionByName(verified(across, packed, least)))
     labels = labels.select(F.col("node").alias("doc_id"), "component")
     return narrow.join(labels, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
