@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pageline.llm import jaccard, langid, media, mixing, sharding, substrings, tokens
+from pageline.llm import jaccard, langid, media, mixing, quality, sharding, substrings, tokens
 
 QUERIES = {
+    "op3_quality_rules": quality.op3_quality_rules,
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op5_token_ids": tokens.op5_token_ids,
