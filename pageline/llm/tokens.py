@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -39,10 +40,12 @@ BLOCK_IDS = 1 << 16
 EVERY = 64
 MAGIC = b"PLHB"
 #: Words whose ids a worker remembers; a full memory is emptied.
-REMEMBERED = 500_000
-#: Unseen words that are tokenized in one call, and the special token between them.
+REMEMBERED = 700_000
+#: Unseen words that are tokenized in one call.
 TOGETHER = 512
-MARK = b"<|startoftext|>"
+#: The vocabulary's mark of a word's last token.
+WORD_END = "</w>"
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 _MADE: dict[str, ChunkTokenizer] = {}
 
 
@@ -64,8 +67,10 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.mark = self.tokenizer.token_to_id(MARK.decode())
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[k for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith(WORD_END)]] = True
         self.known: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
 
     @staticmethod
     def of(path: str) -> ChunkTokenizer:
@@ -78,18 +83,42 @@ class ChunkTokenizer:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = list(set(runs))
-        apart = [x for x in new if MARK in x]
-        for run, got in zip(apart, self.tokenizer.encode_batch([x.decode() for x in apart], add_special_tokens=False), strict=True):
-            self.known[run] = np.array(got.ids, self.dtype).tobytes()
-        whole = [x for x in new if MARK not in x] if apart else new
-        for at in range(0, len(whole), TOGETHER):
-            part = whole[at : at + TOGETHER]
-            # one call for many runs: a special token, which the library cuts out before anything else, stands between them
-            got = np.array(self.tokenizer.encode_batch_fast([MARK.join(part).decode()], add_special_tokens=False)[0].ids, self.dtype)
-            cut = np.flatnonzero(got == self.mark) if len(part) > 1 else np.zeros(0, np.int64)
-            data, width = got.tobytes(), self.dtype.itemsize
-            for run, first, last in zip(part, [0, *((cut + 1) * width).tolist()], [*(cut * width).tolist(), len(data)], strict=True):
-                self.known[run] = data[first:last]
+        if len(self.stems) > REMEMBERED:
+            self.stems.clear()
+        # a word and the punctuation behind it are tokenized apart and in lower case; special tokens are looked for before that
+        split = []
+        for run in new:
+            low = run if b"<|" in run else run.lower()
+            stem = low if b"<|" in run else low.rstrip(PUNCTUATION)
+            if stem and not stem[-1:].isalnum() and not unicodedata.normalize("NFC", stem.decode()).lower()[-1].isalnum():
+                stem = low  # marks would join what follows
+            split.append((run, stem, low[len(stem) :]))
+        missing = {x for _, stem, tail in split for x in (stem, tail)}.difference(self.stems)
+        letters, other = [], []
+        for x in missing:
+            text = x.decode()
+            (letters if text.isalpha() else other).append((x, text))
+        for at in range(0, len(letters), TOGETHER):
+            self._learn_letters(letters[at : at + TOGETHER])
+        for x, text in other:
+            self._learn_one(x, text)
+        stems = self.stems
+        self.known.update((run, stems[stem] + stems[tail]) for run, stem, tail in split)
+
+    def _learn_one(self, x: bytes, text: str) -> None:
+        self.stems[x] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _learn_letters(self, part: list[tuple[bytes, str]]) -> None:
+        """Many words in one call: a word of letters is one pre-token, and only its last token carries the word's end."""
+        got = np.array(self.tokenizer.encode_batch_fast([" ".join([t for _, t in part])], add_special_tokens=False)[0].ids, self.dtype)
+        cut = np.flatnonzero(self.ends[got]) + 1
+        if len(cut) != len(part):
+            for x, text in part:
+                self._learn_one(x, text)
+            return
+        data, edges = got.tobytes(), (cut * self.dtype.itemsize).tolist()
+        for (x, _), first, last in zip(part, [0, *edges], edges, strict=False):
+            self.stems[x] = data[first:last]
 
     def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """The ids of each UTF-8 text, with the end id."""
