@@ -112,8 +112,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def _hash_piece(raw: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    gap = _IS_GAP[raw]
+def _hash_piece(raw: np.ndarray, value: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    gap = gaps[raw]
     edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
@@ -123,24 +123,28 @@ def _hash_piece(raw: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix64(sums * inverse[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
-def word_hashes(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+#: All ASCII bytes but letters and digits.
+PLAIN_GAPS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
+def word_hashes(texts: list[bytes | None], lower: bool = False, gaps: np.ndarray = _IS_GAP) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in turn, and where each text's words begin (one more entry than texts).
 
-    ``lower``: A-Z count as a-z. Work goes by pieces, cut at white space, so a very long text needs no very long temporaries.
+    ``lower``: A-Z count as a-z. ``gaps``: which bytes stand between words; a line end must be among them. Work goes by pieces, cut at white space, so a very long text needs no very long temporaries.
     """
-    value = _VALUE_LOWER if lower else _VALUE
+    value = (_VALUE_LOWER if lower else _VALUE) * ~gaps
     data = b"\n".join(t or b"" for t in texts)
     raw = np.frombuffer(data, np.uint8)
     hashes, places, at = [], [], 0
     while at < len(raw):
         end = min(at + PIECE_BYTES, len(raw))
-        while end < len(raw) and not _IS_GAP[raw[end]]:
+        while end < len(raw) and not gaps[raw[end]]:
             end = min(end + 4096, len(raw))
-            gaps = np.flatnonzero(_IS_GAP[raw[max(at, end - 4096) : end]])
-            if len(gaps):
-                end = max(at, end - 4096) + int(gaps[-1])
+            found = np.flatnonzero(gaps[raw[max(at, end - 4096) : end]])
+            if len(found):
+                end = max(at, end - 4096) + int(found[-1])
                 break
-        h, starts, _ = _hash_piece(raw[at:end], value)
+        h, starts, _ = _hash_piece(raw[at:end], value, gaps)
         hashes.append(h)
         places.append(starts + at)
         at = end
