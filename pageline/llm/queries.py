@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pageline.llm import decontaminate, jaccard, langid, media, mixing, quality, sharding, substrings, tokens
+from pageline.llm import decontaminate, jaccard, langid, media, mixing, pii, quality, sharding, substrings, tokens
 
 QUERIES = {
+    "op4_personal_data": pii.op4_personal_data,
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_quality_rules": quality.op3_quality_rules,
     "op2_substring_dedup": substrings.op2_substring_dedup,
