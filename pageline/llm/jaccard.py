@@ -5,7 +5,8 @@ similarity t or more share at least one shingle among the first n - ceil(t n) +
 they share is of the rare class, both index it by itself. If not, all they share are frequent; then each prefix is extended by g
 places, the frequent shingles in it are dealt by hash into g parts, and since 1 + g shared ones are among them, some part holds two:
 each pair within a part is indexed. g follows the size of the set; as similar sets differ in size by a factor of at most 1 / t, a
-document indexes its pairs for its own size class and the next, and no link is lost.
+document indexes its pairs for its own size class and the next, and no link is lost. Documents with fewer than t n frequent shingles
+index no pairs: what they share with a similar set would all be frequent, and too little.
 
 Which shingles are frequent is read from counts of all shingles in hash buckets (about ``BUCKET_LOAD`` shingles in each): those in
 buckets that stand out from the mean by ``STANDOUT`` standard deviations. A wrong class costs time, never a link.
@@ -41,7 +42,10 @@ BUCKET_LOAD = 16
 MOST_BITS = 24
 STANDOUT = 8
 #: Documents under one index entry of which all pairs are candidates at once.
-SMALL = 16
+SMALL = 64
+#: Documents and shingles of one block of a family, about.
+BLOCK_DOCS = 512
+BLOCK_SHINGLES = 500_000
 #: Index entries that one task sorts at a time, about, and members that one task compares with a hub.
 PART_ENTRIES = 1_000_000
 COMPARED = 256
@@ -97,7 +101,7 @@ def index_entries(shingles: np.ndarray, frequent: np.ndarray, least: int = LEAST
     single = rare[: n - need + 1]
     out = [single]
     own = _size_class(n, least)
-    for size_class in (own, own + 1):
+    for size_class in (own, own + 1) if len(common) >= need else ():
         smallest = max(2.0, (100 / least) ** (size_class - 2))
         parts = max(1, min(int(smallest / 16), -(-least * int(smallest) // 100) - 1))
         held = common[: max(0, n - need + 1 + parts - len(rare))]
@@ -181,7 +185,7 @@ def _index(df: DataFrame, frequent: np.ndarray, parts: int, least: int) -> DataF
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = np.unpackbits(np.frombuffer(packed_bits, np.uint8)).astype(bool)
-        docs: list[tuple[int, int, int, int, int]] = []
+        docs: list[tuple[int, ...]] = []
         held: list[np.ndarray] = []
         count = 0
 
@@ -191,25 +195,26 @@ def _index(df: DataFrame, frequent: np.ndarray, parts: int, least: int) -> DataF
             part = (mix64(entries) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             entries, of, part = entries[order], of[order], part[order]
-            ids, sizes, digests, singles, ends = (np.array(x, t) for x, t in zip(zip(*docs, strict=True), ("<i8", "<u4", "<u8", "<u4", "<i8"), strict=True))
+            ids, sizes, digests, singles, ends, common = (np.array(x, t) for x, t in zip(zip(*docs, strict=True), ("<i8", "<u4", "<u8", "<u4", "<i8", "<u4"), strict=True))
             cut = np.flatnonzero(np.diff(part, prepend=-1))
-            names, blobs = [-1 - int(ids[0]) % parts], [struct.pack("<I", len(ids)) + ids.tobytes() + sizes.tobytes() + singles.tobytes() + ends.tobytes()]
+            names, blobs = [-1 - int(ids[0]) % parts], [struct.pack("<I", len(ids)) + ids.tobytes() + sizes.tobytes() + singles.tobytes() + ends.tobytes() + common.tobytes()]
             for first, last in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True):
                 new = first + np.flatnonzero(np.diff(of[first:last].astype(np.int64), prepend=-1))
                 used, n = of[new], np.diff(np.append(new, last)).astype("<u4")
                 names.append(int(part[first]))
-                blobs.append(struct.pack("<II", len(used), last - first) + _bytes_apart(ids[used]) + _bytes_apart(sizes[used]) + _bytes_apart(n) + digests[used].tobytes() + entries[first:last].tobytes())
+                blobs.append(struct.pack("<II", len(used), last - first) + _bytes_apart(ids[used]) + _bytes_apart(sizes[used]) + _bytes_apart(common[used]) + _bytes_apart(n) + digests[used].tobytes() + entries[first:last].tobytes())
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["part", "data"])
 
         for batch in slices(batches, limit=PIECE):
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).cast(pa.binary()).to_pylist()), strict=True):
                 if doc is None or not len(s):
                     continue
-                entries, single, end = index_entries(s, hot[(s >> shift).astype(np.int64)], least)
+                is_hot = hot[(s >> shift).astype(np.int64)]
+                entries, single, end = index_entries(s, is_hot, least)
                 entries = entries & ~np.uint64(1)
                 entries[single:] |= np.uint64(1)
                 held.append(entries)
-                docs.append((doc, len(s), int.from_bytes(_digest(s)[:8], "little"), single, end >> 1 if end >= 0 else (1 << 63) - 1))
+                docs.append((doc, len(s), int.from_bytes(_digest(s)[:8], "little"), single, end >> 1 if end >= 0 else (1 << 63) - 1, int(is_hot.sum())))
                 count += len(entries)
                 if count >= 1_000_000:
                     yield flush()
@@ -224,37 +229,46 @@ def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
     docs, m = struct.unpack_from("<II", data)
     ids, at = _bytes_together(data, 8, docs, "<i8")
     sizes, at = _bytes_together(data, at, docs, "<u4")
+    common, at = _bytes_together(data, at, docs, "<u4")
     n, at = _bytes_together(data, at, docs, "<u4")
     digests = np.frombuffer(data, "<u8", docs, at)
-    return np.repeat(ids, n), np.repeat(sizes, n), np.repeat(digests, n), np.frombuffer(data, "<u8", m, at + 8 * docs)
+    return np.repeat(ids, n), np.repeat(sizes, n), np.repeat(common, n), np.repeat(digests, n), np.frombuffer(data, "<u8", m, at + 8 * docs)
 
 
 def _groups(blobs: list[bytes], least: int, small: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs (lower id first) with how many singles they share here; of large groups entry, document and whether it is a single."""
-    ids, sizes, digests, entries = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
+    ids, sizes, common, digests, entries = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
     # of equal sets under an entry the lowest id stays: they are linked elsewhere
     by = np.lexsort((ids, digests, entries))
-    ids, sizes, digests, entries = ids[by], sizes[by].astype(np.int64), digests[by], entries[by]
+    ids, sizes, common, digests, entries = ids[by], sizes[by].astype(np.int64), common[by].astype(np.int64), digests[by], entries[by]
     new = np.concatenate([[True], (entries[1:] != entries[:-1]) | (digests[1:] != digests[:-1])])
-    ids, sizes, entries = ids[new], sizes[new], entries[new]
+    ids, sizes, common, entries = ids[new], sizes[new], common[new], entries[new]
     first = np.flatnonzero(np.concatenate([[True], entries[1:] != entries[:-1]]))
     n = np.diff(np.append(first, len(entries)))
     keep = np.repeat(n > 1, n)
-    ids, sizes, entries, n = ids[keep], sizes[keep], entries[keep], n[n > 1]
+    ids, sizes, common, entries, n = ids[keep], sizes[keep], common[keep], entries[keep], n[n > 1]
     order = np.lexsort((ids, entries))
-    ids, sizes, entries = ids[order], sizes[order], entries[order]
+    ids, sizes, common, entries = ids[order], sizes[order], common[order], entries[order]
     first = np.cumsum(n) - n
     nth = np.arange(len(entries)) - np.repeat(first, n)
     size_of_group, single = np.repeat(n, n), (entries & np.uint64(1)) == 0
     pairs = [np.zeros((0, 3), np.int64)]
+
+    def meet(at: np.ndarray, to: np.ndarray, counts: np.ndarray) -> None:
+        # sizes must fit; a pair of frequent shingles is for sets that share no rare one
+        fits = 100 * np.minimum(sizes[at], sizes[to]) >= least * np.maximum(sizes[at], sizes[to])
+        fits &= single[at] | ((100 + least) * np.minimum(common[at], common[to]) >= least * (sizes[at] + sizes[to]))
+        pairs.append(np.stack([ids[to][fits], ids[at][fits], counts[fits]], 1))
+
+    open_ = np.flatnonzero(size_of_group <= small)
     for back in range(1, small):
-        at = np.flatnonzero((size_of_group <= small) & (nth >= back))
-        if len(at):
-            at = at[100 * np.minimum(sizes[at], sizes[at - back]) >= least * np.maximum(sizes[at], sizes[at - back])]
-            pairs.append(np.stack([ids[at - back], ids[at], single[at].astype(np.int64)], 1))
+        open_ = open_[nth[open_] >= back]
+        if not len(open_):
+            break
+        meet(open_, open_ - back, single[open_].astype(np.int64))
     large = size_of_group > small
     star = np.flatnonzero(large & (nth > 0))
-    pairs.append(np.stack([ids[np.repeat(first, n)[star]], ids[star], np.zeros(len(star), np.int64)], 1))
+    meet(star, np.repeat(first, n)[star], np.zeros(len(star), np.int64))
     both = np.concatenate(pairs)
     both = both[np.lexsort((both[:, 1], both[:, 0]))]
     new = np.flatnonzero(np.concatenate([[True], (both[1:, :2] != both[:-1, :2]).any(axis=1)])) if len(both) else np.zeros(0, np.int64)
@@ -263,8 +277,8 @@ def _groups(blobs: list[bytes], least: int, small: int) -> tuple[np.ndarray, np.
 
 
 def _candidates(index: DataFrame, least: int, small: int) -> DataFrame:
-    """kind 0: pairs a, b, singles shared; kind 1: members of large groups (entry, document, 1 if a single); kind 2: documents (id, size,
-    singles, and in d where these end). A task holds one part at a time."""
+    """kind 0: pairs a, b, singles shared; kind 1: members of large groups (entry, document, 1 if a single); kind 2: documents (id, size
+    and frequent shingles in one number, singles, and in d where these end). A task holds one part at a time."""
 
     def rows(kind: int, x: np.ndarray, d: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(x), 100_000):
@@ -282,8 +296,8 @@ def _candidates(index: DataFrame, least: int, small: int) -> DataFrame:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if part < 0:
                     n = struct.unpack_from("<I", data)[0]
-                    cols = [np.frombuffer(data, t, n, 4 + k * n).astype(np.int64) for t, k in (("<i8", 0), ("<u4", 8), ("<u4", 12), ("<i8", 16))]
-                    yield from rows(2, np.stack(cols[:3], 1), cols[3])
+                    cols = [np.frombuffer(data, t, n, 4 + k * n).astype(np.int64) for t, k in (("<i8", 0), ("<u4", 8), ("<u4", 12), ("<i8", 16), ("<u4", 24))]
+                    yield from rows(2, np.stack([cols[0], cols[1] << 31 | cols[4], cols[2]], 1), cols[3])
                     continue
                 if part != now and held:
                     yield from found()
@@ -302,11 +316,11 @@ def _possible(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     Uncounted are at most the shingles of the document whose singles end first that are no singles, or singles of large groups.
     """
     for side in ("a", "b"):
-        pairs = pairs.join(docs.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "rest", "end"))), side)
+        pairs = pairs.join(docs.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "rest", "end", "common"))), side)
     asked = F.ceil(F.lit(least) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + least))
     rest = F.when(F.col("end_a") < F.col("end_b"), F.col("rest_a")).when(F.col("end_a") > F.col("end_b"), F.col("rest_b")).otherwise(F.least("rest_a", "rest_b"))
     fits = 100 * F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")
-    return pairs.filter(fits & (F.col("c") + rest >= asked)).select("a", "b")
+    return pairs.filter(fits & (F.col("c") + rest >= asked) & ((F.col("c") > 0) | (F.least("common_a", "common_b") >= asked))).select("a", "b")
 
 
 def _packed_texts(df: DataFrame) -> DataFrame:
@@ -345,6 +359,74 @@ def verified(pairs: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFram
     return rows.mapInArrow(work, "a long, b long")
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the sets, from incidence matrices over some shingles at a time."""
+    tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(at, kind="stable")
+    at, of = at[order], of[order]
+    out, wide = np.zeros((len(sets), len(sets)), np.float32), 4096
+    for low in range(0, len(tokens), wide):
+        first, last = np.searchsorted(at, (low, low + wide))
+        m = np.zeros((len(sets), wide), np.float32)
+        m[of[first:last], at[first:last] - low] = 1
+        out += m @ m.T
+    return out
+
+
+def _forest(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what all links connect."""
+    left, out = set(range(len(ids))), []
+    while left:
+        todo = [left.pop()]
+        while todo:
+            k = todo.pop()
+            for j in np.flatnonzero(linked[k]).tolist():
+                if j in left:
+                    left.discard(j)
+                    out.append((int(ids[k]), int(ids[j])))
+                    todo.append(j)
+    return out
+
+
+def _families(member: DataFrame, about: DataFrame, labels: DataFrame, packed: DataFrame, least: int) -> DataFrame:
+    """Links (a, b) within families that span several components: pairs of blocks are compared in full."""
+    lead = member.groupBy("entry").agg(F.min("doc_id").alias("a"))
+    ties = member.join(lead, "entry").select("a", F.col("doc_id").alias("b")).filter("a <> b").distinct()
+    family = components(ties).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    family = family.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").join(about.select("doc_id", "n"), "doc_id")
+    family = written(family.select("doc_id", "family", "n", F.coalesce("component", "doc_id").alias("component")), "families")
+    blocks = family.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("docs"), F.sum("n").alias("shingles")).filter("lo <> hi")
+    blocks = blocks.select("family", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = family.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    dealt = dealt.select("doc_id", "family", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("doc_id", "family", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    sent = packed.join(dealt, "doc_id").repartition("family", "one", "two").sortWithinPartitions("family", "one", "two")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+
+        def compared() -> pa.RecordBatch:
+            ids, sets = np.array([x[0] for x in held]), [x[1] for x in held]
+            both, n = _overlaps(sets), np.array([len(x) for x in sets])
+            pairs = _forest(ids, 100 * both >= least * (n[:, None] + n[None, :] - both))
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())], ["a", "b"])
+
+        held, now = [], None
+        for batch in slices(batches, "packed", PIECE):
+            ids, data, *key = (batch.column(k).to_pylist() for k in range(5))
+            for doc, s, at in zip(ids, shingle_sets([open_.decompress(x) for x in data]), zip(*key, strict=True), strict=True):
+                if at != now and held:
+                    yield compared()
+                    held = []
+                now = at
+                held.append((doc, s))
+        if held:
+            yield compared()
+
+    return sent.select("doc_id", "packed", "family", "one", "two").mapInArrow(work, "a long, b long")
+
+
 def link_documents(df: DataFrame, least: int = LEAST, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles and component_id of each document of ``df`` (doc_id, text)."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -356,28 +438,19 @@ def link_documents(df: DataFrame, least: int = LEAST, small: int = SMALL) -> Dat
     same = same.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     member = found.filter("kind = 1").select(F.col("a").alias("entry"), F.col("b").alias("doc_id"), F.col("c").alias("single"))
     apart = member.groupBy("doc_id").agg(F.sum("single").alias("apart"))
-    about = found.filter("kind = 2").groupBy(F.col("a").alias("doc_id")).agg(F.max("b").alias("n"), F.min("c").alias("singles"), F.min("d").alias("end"))
-    about = written(about.join(apart, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.col("singles") + F.coalesce("apart", F.lit(0))).alias("rest"), "end"), "documents")
+    about = found.filter("kind = 2").groupBy(F.col("a").alias("doc_id")).agg(F.max("b").alias("sizes"), F.min("c").alias("singles"), F.min("d").alias("end"))
+    about = about.withColumns({"n": F.shiftright("sizes", 31), "common": F.col("sizes").bitwiseAND((1 << 31) - 1)})
+    about = written(about.join(apart, "doc_id", "left").select("doc_id", "n", "common", (F.col("n") - F.col("singles") + F.coalesce("apart", F.lit(0))).alias("rest"), "end"), "documents")
     met = found.filter("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c"))
     pairs = written(_possible(met, about, least), "pairs")
     packed = _packed_texts(docs)
 
     links = written(verified(pairs, packed, least).unionByName(same), "links")
     labels = components(links)
-    # large groups that span several components: the pairs across them
     if not member.isEmpty():
-        member = member.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").join(about.select("doc_id", "n"), "doc_id")
-        member = member.select("entry", "single", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-        split = member.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("entry")
-        member = written(member.join(split, "entry"), "split-groups")
-        if not member.isEmpty():
-            other = member.select("entry", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("k"))
-            fits = 100 * F.least("n", "m") >= least * F.greatest("n", "m")
-            across = member.withColumnRenamed("doc_id", "a").join(other, "entry").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("k")) & fits)
-            across = across.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti").join(met, ["a", "b"], "left").select("a", "b", F.coalesce("c", F.lit(0)).alias("c"))
-            across = written(_possible(across, about, least), "pairs-across")
-            if not across.isEmpty():
-                labels = components(links.unionByName(verified(across, packed, least)))
+        more = written(_families(member, about, labels, packed, least), "family-links")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
     labels = labels.select(F.col("node").alias("doc_id"), "component")
     return narrow.join(labels, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
