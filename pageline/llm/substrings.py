@@ -113,9 +113,40 @@ def prefix_counts(df: DataFrame, window: int = WINDOW) -> tuple[list[np.ndarray]
 
 
 def _digest(text: bytes | None) -> int:
+    """16 bits of a text: tells rows that repeat a doc_id apart."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(text or b"")
+    return xxhash.xxh3_64_intdigest(text or b"") & 0xFFFF
+
+
+def _apart(x: np.ndarray, dtype: str) -> bytes:
+    """Integers with all their first bytes first, then all second ones: high bytes that seldom change pack to almost nothing."""
+    return np.ascontiguousarray(x.astype(dtype)).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _together(data: bytes, at: int, n: int, dtype: str) -> tuple[np.ndarray, int]:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T).view(dtype).reshape(-1), at + n * width
+
+
+def _pack_docs(ids: np.ndarray, digests: np.ndarray, n: np.ndarray, pos: np.ndarray) -> bytes:
+    """Documents (id, digest, how many windows) and the first words of their windows, as steps within a document."""
+    first = np.cumsum(n) - n
+    step = np.diff(pos, prepend=0)
+    step[first] = pos[first]
+    return struct.pack("<II", len(ids), len(pos)) + _apart(np.diff(ids, prepend=0), "<i8") + _apart(digests, "<u2") + _apart(n, "<u4") + _apart(step, "<u4")
+
+
+def _unpack_docs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of each window its document's id and digest, and its first word; and where the data behind begins."""
+    docs, m = struct.unpack_from("<II", data)
+    steps, at = _together(data, 8, docs, "<i8")
+    digests, at = _together(data, at, docs, "<u2")
+    n, at = _together(data, at, docs, "<u4")
+    step, at = _together(data, at, m, "<u4")
+    n, run = n.astype(np.int64), np.cumsum(step.astype(np.int64))
+    first = np.cumsum(n) - n
+    return np.repeat(np.cumsum(steps), n), np.repeat(digests, n), run - np.repeat(run[first] - step[first], n), at
 
 
 def _pack_flags(ids: np.ndarray, digests: np.ndarray, pos: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
@@ -128,19 +159,11 @@ def _pack_flags(ids: np.ndarray, digests: np.ndarray, pos: np.ndarray, buckets:
     for first, last in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=True):
         i, d, p = ids[first:last], digests[first:last], pos[first:last]
         new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (d[1:] != d[:-1])]))
-        n = np.diff(np.append(new, len(i)))
         names.append(int(bucket[first]))
-        blobs.append(struct.pack("<II", len(new), len(i)) + i[new].tobytes() + d[new].tobytes() + n.astype("<u4").tobytes() + p.astype("<u4").tobytes())
+        blobs.append(_pack_docs(i[new], d[new], np.diff(np.append(new, len(i))), p))
     return names, blobs
 
 
-def _unpack_flags(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, m = struct.unpack_from("<II", data)
-    ids, digests = np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<u8", n, 8 + 8 * n)
-    count = np.frombuffer(data, "<u4", n, 8 + 16 * n)
-    return np.repeat(ids, count), np.repeat(digests, count), np.frombuffer(data, "<u4", m, 8 + 20 * n)
-
-
 #: Rows of the shuffles: suffixes for a group (kind 0) or removed windows for a bucket of documents (kind 1).
 _SENT = "kind int, place int, data binary"
 
@@ -155,7 +178,7 @@ def _suffixes(df: DataFrame, groups: Groups, buckets: int, window: int) -> DataF
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> Iterator[pa.RecordBatch]:
             path, part, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            ids, digests = np.array(names, np.int64), np.array(marks, np.uint64)
+            ids, digests = np.array(names, np.int64), np.array(marks, np.uint16)
             rank = np.empty(len(ids), np.int64)
             rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
             order = np.argsort(rank[doc], kind="stable")
@@ -174,13 +197,9 @@ def _suffixes(df: DataFrame, groups: Groups, buckets: int, window: int) -> DataF
             for first, last in zip(cut.tolist(), [*cut[1:].tolist(), len(go)], strict=True):
                 mine = go[first:last]
                 new = np.flatnonzero(np.diff(doc[mine], prepend=-1))
-                n = np.diff(np.append(new, len(mine))).astype("<u4")
                 used = doc[mine[new]]
                 label = np.ascontiguousarray((path[mine] & LABEL).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7])
-                # first words as steps within a document, so that they pack well
-                step = np.diff(pos[mine], prepend=0)
-                step[new] = pos[mine[new]]
-                blobs.append(struct.pack("<II", len(new), len(mine)) + ids[used].tobytes() + digests[used].tobytes() + n.tobytes() + step.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + label.tobytes())
+                blobs.append(_pack_docs(ids[used], digests[used], np.diff(np.append(new, len(mine))), pos[mine]) + label.tobytes())
             yield _sent(0, part[go[cut]].tolist(), blobs)
 
         held, names, marks, count = [], [], [], 0
@@ -209,16 +228,12 @@ def _nodes(sent: DataFrame, buckets: int) -> DataFrame:
         def settle() -> Iterator[pa.RecordBatch]:
             ids, digests, pos, labels = [], [], [], []
             for data in held:
-                n, m = struct.unpack_from("<II", data)
-                count = np.frombuffer(data, "<u4", n, 8 + 16 * n)
-                ids.append(np.repeat(np.frombuffer(data, "<i8", n, 8), count))
-                digests.append(np.repeat(np.frombuffer(data, "<u8", n, 8 + 8 * n), count))
-                step = np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * m, 8 + 20 * n).reshape(4, m).T).view("<u4").reshape(-1).astype(np.int64)
-                first = np.cumsum(count) - count
-                run = np.cumsum(step)
-                pos.append(run - np.repeat(run[first] - step[first], count))
-                label = np.zeros((m, 8), np.uint8)
-                label[:, :7] = np.frombuffer(data, np.uint8, 7 * m, 8 + 20 * n + 4 * m).reshape(m, 7)
+                own, mark, at, end = _unpack_docs(data)
+                ids.append(own)
+                digests.append(mark)
+                pos.append(at)
+                label = np.zeros((len(own), 8), np.uint8)
+                label[:, :7] = np.frombuffer(data, np.uint8, offset=end).reshape(len(own), 7)
                 labels.append(label.view("<u8").reshape(-1))
             key = np.concatenate(labels)
             order = np.argsort(key)
@@ -281,7 +296,7 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW) -> DataFrame:
                 if p != now:
                     now, gone = p, {}
                 if r == 0:
-                    i, d, at = _unpack_flags(x)
+                    i, d, at, _ = _unpack_docs(x)
                     new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (d[1:] != d[:-1])]))
                     for first, last in zip(new.tolist(), [*new[1:].tolist(), len(i)], strict=True):
                         gone.setdefault((int(i[first]), int(d[first])), []).append(at[first:last])
