@@ -115,6 +115,8 @@ class Items:
         """Of each text: item_id, score, first and one past the last word of the passage."""
         h, begin = _words(texts)
         k, pos = self.find(h, begin)
+        if not len(k):
+            return [[] for _ in texts]
         n = self.n[k]
         of = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         pos = np.repeat(pos, n)
@@ -124,7 +126,7 @@ class Items:
         size = np.array([len(w) for w in self.words], np.int64)
         pad = size // 4 + 4
         # places on neighbouring diagonals are one passage
-        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > pad[item[1:]])]) if len(doc) else np.zeros(0, bool)
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > pad[item[1:]])])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(doc)) - 1
         out: list[list] = [[] for _ in texts]
