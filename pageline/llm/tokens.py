@@ -40,7 +40,7 @@ BLOCK_IDS = 1 << 16
 EVERY = 64
 MAGIC = b"PLHB"
 #: Words whose ids a worker remembers; a full memory is emptied.
-REMEMBERED = 700_000
+REMEMBERED = 800_000
 #: Unseen words that are tokenized in one call.
 TOGETHER = 512
 #: The vocabulary's mark of a word's last token.
@@ -78,22 +78,30 @@ class ChunkTokenizer:
             _MADE[path] = ChunkTokenizer(path)
         return _MADE[path]
 
-    def _learn(self, runs: list[bytes]) -> None:
-        new = list(set(runs).difference(self.known))
+    def _learn(self, runs: set[bytes]) -> None:
+        new = runs.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = list(set(runs))
+            new = runs
         if len(self.stems) > REMEMBERED:
             self.stems.clear()
         # a word and the punctuation behind it are tokenized apart and in lower case; special tokens are looked for before that
-        split = []
+        split, missing, known, stems = [], set(), self.known, self.stems
         for run in new:
             low = run if b"<|" in run else run.lower()
-            stem = low if b"<|" in run else low.rstrip(PUNCTUATION)
+            ids = stems.get(low)
+            if ids is not None:
+                known[run] = ids
+                continue
+            stem = low if low is run and b"<|" in run else low.rstrip(PUNCTUATION)
             if stem and not stem[-1:].isalnum() and not unicodedata.normalize("NFC", stem.decode()).lower()[-1].isalnum():
                 stem = low  # marks would join what follows
-            split.append((run, stem, low[len(stem) :]))
-        missing = {x for _, stem, tail in split for x in (stem, tail)}.difference(self.stems)
+            tail = low[len(stem) :]
+            split.append((run, stem, tail))
+            if stem not in stems:
+                missing.add(stem)
+            if tail not in stems:
+                missing.add(tail)
         letters, other = [], []
         for x in missing:
             text = x.decode()
@@ -102,8 +110,8 @@ class ChunkTokenizer:
             self._learn_letters(letters[at : at + TOGETHER])
         for x, text in other:
             self._learn_one(x, text)
-        stems = self.stems
-        self.known.update((run, stems[stem] + stems[tail]) for run, stem, tail in split)
+        for run, stem, tail in split:
+            known[run] = stems[stem] + stems[tail]
 
     def _learn_one(self, x: bytes, text: str) -> None:
         self.stems[x] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -124,7 +132,7 @@ class ChunkTokenizer:
         """The ids of each UTF-8 text, with the end id."""
         end = np.array([END], self.dtype).tobytes()
         runs = [(t or b"").split() for t in texts]
-        self._learn([x for r in runs for x in r])
+        self._learn(set().union(*runs))
         known = self.known
         return [np.frombuffer(b"".join(map(known.__getitem__, r)) + end, self.dtype) for r in runs]
 
