@@ -1,0 +1,49 @@
+"""A driver-side limiter for calls to an outside service: slots, calls and tokens in a sliding window."""
+
+from __future__ import annotations
+
+import threading
+import time
+from collections.abc import Callable
+from contextlib import contextmanager
+
+from pageline.config import Config
+
+
+class Reservation:
+    """Tokens taken; ``correct`` puts the true number in place of the estimate."""
+
+    def __init__(self, at: float, tokens: int):
+        self.at, self.tokens = at, tokens
+
+    def correct(self, tokens: int) -> None:
+        self.tokens = tokens
+
+
+class Limiter:
+    """Waits until a call fits under all three ceilings. An estimate above the ceiling is an error, since it could never fit."""
+
+    def __init__(self, config: Config = Config(), concurrent: int = 4, window: float = 60.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.rpm, self.tpm, self.window, self.clock, self.sleep = config.requests_per_minute, config.tokens_per_minute, window, clock, sleep
+        self._slots, self._lock, self._held = threading.BoundedSemaphore(concurrent), threading.Lock(), []
+
+    def usage(self) -> tuple[int, int]:
+        """Calls and tokens within the window; one exactly as old as the window still counts."""
+        with self._lock:
+            self._held = [r for r in self._held if r.at >= self.clock() - self.window]
+            return len(self._held), sum(r.tokens for r in self._held)
+
+    @contextmanager
+    def call(self, estimate: int):
+        if estimate > self.tpm:
+            raise ValueError(f"{estimate} tokens never fit under {self.tpm}")
+        with self._slots:
+            while True:
+                calls, tokens = self.usage()
+                if calls < self.rpm and tokens + estimate <= self.tpm:
+                    break
+                self.sleep(0.5)
+            held = Reservation(self.clock(), estimate)
+            with self._lock:
+                self._held.append(held)
+            yield held
