@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pageline.functions.text import first_words, loosely_starts, same_story, squeezed, topic_words, without_space, words
+from pageline.functions.text import first_words, loosely_starts, squeezed, topic_words, without_space
 from pageline.operators import canary, ranges, ranking, retention, status, trace
 from pageline.operators.cachekeys import page_key, ranking_key, short_hash
 from pageline.operators.lines import first_most_frequent, islands
@@ -309,24 +309,35 @@ def headline_check(spark: SparkSession, d: str) -> DataFrame:
     return first_lines(spark, d).select("doc_id", headline_quality(F.col("headline")).alias("quality"))
 
 
+_BARE = "regexp_replace({}, '[.,;:!?\"''‘’“”]', '', 'g')"
+
+
 @query(
-    """WITH d AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) AS x FROM documents), b AS (SELECT item_id, trim(regexp_replace(lower(left(text, 60)), '\\s+', ' ', 'g')) AS y FROM benchmark),
-    s AS (SELECT item_id, y, replace(y, ' ', '') AS y2, regexp_replace(y, '[.,;:!?"''‘’“”]', '', 'g') AS y3 FROM b)
-    SELECT doc_id, item_id, contains(x, y) AS as_is, contains(replace(x, ' ', ''), y2) AS without_space, contains(regexp_replace(x, '[.,;:!?"''‘’“”]', '', 'g'), y3) AS without_marks
-    FROM d JOIN s ON contains(x, y) OR contains(replace(x, ' ', ''), y2) OR contains(regexp_replace(x, '[.,;:!?"''‘’“”]', '', 'g'), y3)"""
+    f"""WITH {LINES_SQL}, x AS (SELECT doc_id, line_no, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS x FROM l),
+    y AS (SELECT item_id, trim(regexp_replace(lower(array_to_string(string_split(text, ' ')[1:2], ' ')), '\\s+', ' ', 'g')) AS y FROM benchmark),
+    z AS (SELECT item_id, y FROM y WHERE length(replace({_BARE.format('y')}, ' ', '')) >= 4)
+    SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, item_id, starts_with(x, y) AS as_is, starts_with(replace(x, ' ', ''), replace(y, ' ', '')) AS without_space, starts_with({_BARE.format('x')}, {_BARE.format('y')}) AS without_marks
+    FROM x JOIN z ON starts_with(x, y) OR starts_with(replace(x, ' ', ''), replace(y, ' ', '')) OR starts_with({_BARE.format('x')}, {_BARE.format('y')})"""
 )
 def checksum_prefix(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that quote the beginning of a test item, in the three ways of loose matching.
+    """Lines that begin with the first words of a test item, in the three ways of loose matching.
 
-    The quotes are few and checked to be small before they are sent everywhere; each document is then read once.
+    Whatever matches in one of these ways has the same first letters once white space and punctuation are gone, so the join is an equality.
     """
     from pageline.functions.text import LOOSE
 
-    forms = lambda c: (squeezed(c), F.replace(squeezed(c), F.lit(" "), F.lit("")), F.regexp_replace(squeezed(c), LOOSE, ""))
-    b = table(spark, d, "benchmark").select("item_id", *(x.alias(f"y{k}") for k, x in enumerate(forms(F.substring("text", 1, 60)))))
-    x = table(spark, d, "documents").select("doc_id", *(x.alias(f"x{k}") for k, x in enumerate(forms(F.coalesce("text", F.lit(""))))))
-    both = x.join(b, F.col("x0").contains(F.col("y0")) | F.col("x1").contains(F.col("y1")) | F.col("x2").contains(F.col("y2")))
-    return both.select("doc_id", "item_id", *(F.contains(F.col(f"x{k}"), F.col(f"y{k}")).alias(n) for k, n in enumerate(("as_is", "without_space", "without_marks"))))
+    bare = lambda c: F.regexp_replace(c, LOOSE, "")
+    key = lambda c: F.substring(bare(without_space(c)), 1, 4)
+    start = squeezed(F.array_join(F.slice(F.split("text", " "), 1, 2), " "))
+    y = table(spark, d, "benchmark").select("item_id", start.alias("y")).withColumn("key", key(F.col("y"))).filter(F.length("key") == 4)
+    x = lines(spark, d).select("doc_id", "line_no", squeezed(F.col("text")).alias("x")).withColumn("key", key(F.col("x")))
+    both = x.join(y, "key").filter(loosely_starts(F.col("x"), F.col("y")))
+    ways = {
+        "as_is": F.startswith("x", "y"),
+        "without_space": F.startswith(without_space(F.col("x")), without_space(F.col("y"))),
+        "without_marks": F.startswith(bare(F.col("x")), bare(F.col("y"))),
+    }
+    return both.select("doc_id", "line_no", "item_id", *(c.alias(n) for n, c in ways.items()))
 
 
 #: Lines of two small paragraphs: number, place, text, whether a single glyph.
