@@ -175,10 +175,12 @@ def _bytes_together(data: bytes, at: int, n: int, dtype: str) -> tuple[np.ndarra
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T).view(dtype).reshape(-1), at + n * width
 
 
-def _index(df: DataFrame, frequent: np.ndarray, parts: int, least: int) -> DataFrame:
-    """Packed index entries, rows part and data: of each document its id, size, digest, entries; pairs carry the lowest bit, singles none.
+def _index(df: DataFrame, frequent: np.ndarray, parts: int, least: int, small: int) -> DataFrame:
+    """Packed index entries, rows part and data: of each document its id, size, digest, entries; pairs carry the lowest bit, and the
+    next one says that the document stands for more of its batch.
 
-    Rows of negative parts tell of each document its id, size, number of singles and where these end.
+    Rows of negative parts tell of each document its id, size, number of singles and where these end (D), or of entries that a batch has
+    often the entry, its lowest document and another, and whether it is a single (S).
     """
     packed_bits = np.packbits(frequent).tobytes()
     shift = np.uint64(64 - (len(frequent).bit_length() - 1))
@@ -187,17 +189,36 @@ def _index(df: DataFrame, frequent: np.ndarray, parts: int, least: int) -> DataF
         hot = np.unpackbits(np.frombuffer(packed_bits, np.uint8)).astype(bool)
         docs: list[tuple[int, ...]] = []
         held: list[np.ndarray] = []
+        seen: set[bytes] = set()
         count = 0
 
         def flush() -> pa.RecordBatch:
             entries = np.concatenate(held)
             of = np.repeat(np.arange(len(docs), dtype=np.uint32), [len(x) for x in held])
-            part = (mix64(entries) % np.uint64(parts)).astype(np.int64)
+            ids = np.array([x[0] for x in docs], "<i8")
+            _, group, often = np.unique(entries, return_inverse=True, return_counts=True)
+            hot_rows = np.flatnonzero(often[group] > small)
+            stars = b""
+            if len(hot_rows):
+                hot_rows = hot_rows[np.lexsort((ids[of[hot_rows]], group[hot_rows]))]
+                first = np.flatnonzero(np.diff(group[hot_rows], prepend=-1))
+                lead = np.repeat(first, np.diff(np.append(first, len(hot_rows))))
+                rest = np.setdiff1d(np.arange(len(hot_rows)), first)
+                star = np.stack([entries[hot_rows].view("<i8"), ids[of[hot_rows[lead]]], ids[of[hot_rows]], (entries[hot_rows] & np.uint64(1)) == 0], 1)
+                stars = b"S" + struct.pack("<I", len(star)) + star.astype("<i8").tobytes()
+                keep = np.ones(len(entries), bool)
+                keep[hot_rows[rest]] = False
+                entries[hot_rows[first]] |= np.uint64(2)
+                entries, of = entries[keep], of[keep]
+            part = (mix64(entries & ~np.uint64(2)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             entries, of, part = entries[order], of[order], part[order]
             ids, sizes, digests, singles, ends, common = (np.array(x, t) for x, t in zip(zip(*docs, strict=True), ("<i8", "<u4", "<u8", "<u4", "<i8", "<u4"), strict=True))
             cut = np.flatnonzero(np.diff(part, prepend=-1))
-            names, blobs = [-1 - int(ids[0]) % parts], [struct.pack("<I", len(ids)) + ids.tobytes() + sizes.tobytes() + singles.tobytes() + ends.tobytes() + common.tobytes()]
+            names, blobs = [-1 - int(ids[0]) % parts], [b"D" + struct.pack("<I", len(ids)) + ids.tobytes() + sizes.tobytes() + singles.tobytes() + ends.tobytes() + common.tobytes()]
+            if stars:
+                names.append(names[0])
+                blobs.append(stars)
             for first, last in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True):
                 new = first + np.flatnonzero(np.diff(of[first:last].astype(np.int64), prepend=-1))
                 used, n = of[new], np.diff(np.append(new, last)).astype("<u4")
@@ -207,18 +228,20 @@ def _index(df: DataFrame, frequent: np.ndarray, parts: int, least: int) -> DataF
 
         for batch in slices(batches, limit=PIECE):
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).cast(pa.binary()).to_pylist()), strict=True):
-                if doc is None or not len(s):
+                digest = _digest(s)
+                if doc is None or not len(s) or digest in seen:
                     continue
+                seen.add(digest)
                 is_hot = hot[(s >> shift).astype(np.int64)]
                 entries, single, end = index_entries(s, is_hot, least)
-                entries = entries & ~np.uint64(1)
+                entries = entries & ~np.uint64(3)
                 entries[single:] |= np.uint64(1)
                 held.append(entries)
-                docs.append((doc, len(s), int.from_bytes(_digest(s)[:8], "little"), single, end >> 1 if end >= 0 else (1 << 63) - 1, int(is_hot.sum())))
+                docs.append((doc, len(s), int.from_bytes(digest[:8], "little"), single, end >> 1 if end >= 0 else (1 << 63) - 1, int(is_hot.sum())))
                 count += len(entries)
                 if count >= 1_000_000:
                     yield flush()
-                    docs, held, count = [], [], 0
+                    docs, held, seen, count = [], [], set(), 0
         if docs:
             yield flush()
 
@@ -238,6 +261,8 @@ def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
 def _groups(blobs: list[bytes], least: int, small: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs (lower id first) with how many singles they share here; of large groups entry, document and whether it is a single."""
     ids, sizes, common, digests, entries = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
+    stands, entries = (entries & np.uint64(2)) != 0, entries & ~np.uint64(2)
+    crowded = np.unique(entries[stands])
     # of equal sets under an entry the lowest id stays: they are linked elsewhere
     by = np.lexsort((ids, digests, entries))
     ids, sizes, common, digests, entries = ids[by], sizes[by].astype(np.int64), common[by].astype(np.int64), digests[by], entries[by]
@@ -252,6 +277,7 @@ def _groups(blobs: list[bytes], least: int, small: int) -> tuple[np.ndarray, np.
     first = np.cumsum(n) - n
     nth = np.arange(len(entries)) - np.repeat(first, n)
     size_of_group, single = np.repeat(n, n), (entries & np.uint64(1)) == 0
+    size_of_group[np.isin(entries, crowded)] += small  # it is larger than what was sent
     pairs = [np.zeros((0, 3), np.int64)]
 
     def meet(at: np.ndarray, to: np.ndarray, counts: np.ndarray) -> None:
@@ -294,9 +320,15 @@ def _candidates(index: DataFrame, least: int, small: int) -> DataFrame:
         held, now = [], None
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part < 0 and data[:1] == b"S":
+                    star = np.frombuffer(data, "<i8", offset=5).reshape(-1, 4)
+                    yield from rows(1, star[:, [0, 2, 3]])
+                    pairs = np.unique(star[star[:, 1] != star[:, 2]][:, 1:3], axis=0)
+                    yield from rows(0, np.column_stack([pairs, np.zeros(len(pairs), np.int64)]))
+                    continue
                 if part < 0:
-                    n = struct.unpack_from("<I", data)[0]
-                    cols = [np.frombuffer(data, t, n, 4 + k * n).astype(np.int64) for t, k in (("<i8", 0), ("<u4", 8), ("<u4", 12), ("<i8", 16), ("<u4", 24))]
+                    n = struct.unpack_from("<I", data, 1)[0]
+                    cols = [np.frombuffer(data, t, n, 5 + k * n).astype(np.int64) for t, k in (("<i8", 0), ("<u4", 8), ("<u4", 12), ("<i8", 16), ("<u4", 24))]
                     yield from rows(2, np.stack([cols[0], cols[1] << 31 | cols[4], cols[2]], 1), cols[3])
                     continue
                 if part != now and held:
@@ -432,7 +464,7 @@ def link_documents(df: DataFrame, least: int = LEAST, small: int = SMALL) -> Dat
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     narrow, frequent, total = _counted(docs)
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * (101 - least) // (100 * PART_ENTRIES)))
-    found = written(_candidates(_index(docs, frequent, parts, least), least, small), "candidates")
+    found = written(_candidates(_index(docs, frequent, parts, least, small), least, small), "candidates")
     same = narrow.filter("n > 0 and doc_id is not null")
     same = same.join(same.groupBy("digest", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "first"), "digest")
     same = same.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
