@@ -139,14 +139,15 @@ def decide(df: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST)
 
 def mix(df: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mixed rows: each row of ``df`` (doc_id, text, source, ...) as often as it is taken, with the columns of ``df``."""
-    key = [F.col("doc_id"), F.col("source")]
-    made = decide(df, weights, most).select("doc_id", "source", "size", "copies")
-    made = made.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("size", "copies"))).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_k").alias("_at"), F.col("copies").alias("_copies")
-    )
-    rows = df.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(n_words(F.col("text")))))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_k") == F.col("_at"))
-    taken = rows.join(made.filter("_copies > 0"), same)
+    # Both sides are numbered within the same key in the same order, so the numbers agree. The key alone partitions the join (the number
+    # is only compared), so one shuffle of the texts serves the numbering and the join.
+    key = F.xxhash64("doc_id", "source")
+    made = decide(df, weights, most).select(key.alias("_of"), "doc_id", "source", "size", "copies")
+    order = Window.partitionBy("_of").orderBy("doc_id", "source", "size")
+    made = made.withColumn("_at", F.row_number().over(order)).select("_of", "_at", F.col("copies").alias("_copies"))
+    rows = df.withColumns({"_key": key, "_size": n_words(F.col("text"))})
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_key").orderBy("doc_id", "source", "_size")))
+    taken = rows.join(made, (F.col("_key") == F.col("_of")) & (F.col("_k") - F.col("_at") == 0)).filter("_copies > 0")
     return taken.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*df.columns)
 
 
