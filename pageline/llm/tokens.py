@@ -71,6 +71,7 @@ class ChunkTokenizer:
         self.ends[[k for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith(WORD_END)]] = True
         self.known: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
+        self.remembered = REMEMBERED
 
     @staticmethod
     def of(path: str) -> ChunkTokenizer:
@@ -80,10 +81,10 @@ class ChunkTokenizer:
 
     def _learn(self, runs: set[bytes]) -> None:
         new = runs.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > self.remembered:
             self.known.clear()
             new = runs
-        if len(self.stems) > REMEMBERED:
+        if len(self.stems) > self.remembered:
             self.stems.clear()
         # a word and the punctuation behind it are tokenized apart and in lower case; special tokens are looked for before that
         split, missing, known, stems = [], set(), self.known, self.stems
@@ -217,11 +218,12 @@ class Code:
         return np.split(ids, np.cumsum(sizes)[:-1])
 
 
-def tokenize(df: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def tokenize(df: DataFrame, tokenizer: str = TOKENIZER, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id and the ids of the whole text with the end id, packed little-endian (2 bytes each for up to 65,536 ids, else 4)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = ChunkTokenizer.of(tokenizer)
+        tok.remembered = remembered
         for batch in slices(batches):
             ids = tok.ids(batch.column(1).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "ids"])
@@ -247,11 +249,11 @@ def id_counts(packed: DataFrame, dtype: np.dtype) -> np.ndarray:
     return out
 
 
-def write_ids(df: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def write_ids(df: DataFrame, tokenizer: str = TOKENIZER, remembered: int = REMEMBERED) -> DataFrame:
     """The files: rows part, block, before (ids of the part that stand before it), n_ids, doc_ids, data; part -1 holds the code lengths."""
     spark = df.sparkSession
     dtype = ChunkTokenizer.of(tokenizer).dtype
-    packed = written(tokenize(df, tokenizer), "packed-ids")
+    packed = written(tokenize(df, tokenizer, remembered), "packed-ids")
     lengths = code_lengths(id_counts(packed, dtype))
     schema = "part int, block int, before long, n_ids long, doc_ids array<long>, data binary"
     table = lengths.tobytes()
