@@ -1,15 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds join passages of training texts to test items; Smith-Waterman alignment scores them.
+"""Benchmark decontamination: rare word pairs lead from training texts to test items; Smith-Waterman alignment scores them.
 
-Words are runs of letters and digits, lower-cased. All n-grams of the test items are counted over all documents; in each run of
-``WINNOW`` neighbouring n-grams of an item the rarest is a seed, so every stretch of an item has one, however common its words are.
-Where a seed of an item stands in a document, the words around are aligned with the whole item (match +1, mismatch and gap -``LOSS``).
-The score is the best local alignment over the item's words; from ``LEAST`` on (and ``LEAST_WORDS`` words' worth) the document
-holds a copy, edited or not.
+Words are runs of letters and digits, lower-cased. A document's passage is aligned with the whole item (match +1, mismatch and gap
+-``LOSS``). The score is the best local alignment over the item's words; from ``LEAST`` on (and ``LEAST_WORDS`` words' worth) the
+document holds a copy, edited or not.
+
+No such copy is missed. An alignment of score S with M matches and E edits has M - E / 2 >= S; of the M - 1 steps from one match to the
+next at most E / 2 hold two edits or more, so S - 1 steps hold one at most. Such a step is a pair of words that stand one or two words
+apart in the item and in the document. So a document that holds a copy has S - 1 pairs of the item, from as many places of it, within
+the span of the longest alignment of that score. Half of these may be spared: the places of an item whose pairs are commonest in the
+documents lead nowhere, and the rest of the S - 1 is asked for. What has them is aligned; the alignment alone decides.
 
 Documents are read twice (counts, alignment) and never shuffled. Test items come in blocks of at most ``BLOCK_BYTES`` of text, which
-bounds what the driver gathers and sends; each block meets all documents.
+bounds what the driver gathers and sends; each block meets all documents. Places of pairs are handled ``HELD`` at a time. Their number
+grows with documents x items where both use the same few words.
 
-Cases. Null and empty texts and items match nothing, nor do items of fewer words than an n-gram. A document that holds an item several
+Cases. Null and empty texts and items match nothing, nor do items of fewer than ``FEWEST`` words. A document that holds an item several
 times has its best place once. Items with equal texts each match. Repeated documents give equal hits; empty tables none. Columns of the
 documents pass through ``scan`` untouched, but for one named ``hits``.
 """
@@ -24,18 +29,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageline.llm.common import PLAIN_GAPS, documents, rolling, slices, word_hashes
+from pageline.llm.common import PLAIN_GAPS, documents, mix64, slices, word_hashes
 
-NGRAM = 3
-WINNOW = 4
+FEWEST = 3
+#: Words of a pair are so many words apart: next to each other, or with one between.
+FAR = (1, 2)
+#: The bound on pairs holds for one half and more.
 LOSS = 0.5
 LEAST = 0.4
 #: Least score of a hit in words, or the whole item where it is shorter.
 LEAST_WORDS = 8
 BLOCK_BYTES = 8 << 20
 PIECE = 1 << 20
-#: Alignments that are computed together.
+#: Places of pairs that are looked at together.
+HELD = 1 << 21
+#: Alignments that are computed together, and words of their texts.
 TOGETHER = 256
+TOGETHER_WORDS = 1 << 17
 HITS = "array<struct<item_id:long,score:double,start:long,end:long>>"
 
 
@@ -43,6 +53,10 @@ def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes([(t or "").lower().encode() for t in texts], gaps=PLAIN_GAPS)
 
 
+def _pairs(h: np.ndarray, far: int) -> np.ndarray:
+    return mix64(h[:-far] * np.uint64(0x9E3779B97F4A7C15) + h[far:])
+
+
 def align(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
     """Best local alignment of each item with its text: score, and the last item and text word of it (rows x 3)."""
     m, n = max(map(len, items)), max(map(len, texts))
@@ -65,12 +79,17 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
 
 
 class Items:
-    """Test items as words, and the n-grams that lead to them."""
+    """Test items as words, and the pairs of words that lead to them."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
+    def __init__(self, ids: list[int], texts: list[str | None], least: float = LEAST):
         h, begin = _words(texts)
         self.ids, self.words = ids, [h[x:y] for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-        parts = [(rolling(w, NGRAM), k) for k, w in enumerate(self.words) if len(w) >= NGRAM]
+        size = np.array([len(w) for w in self.words], np.int64)
+        #: Least score of a copy, most words that one spans, and pairs of it that a document has.
+        self.score = np.maximum(least * size, np.minimum(size, LEAST_WORDS))
+        self.span = np.ceil(size + (size - self.score) / LOSS).astype(np.int64)
+        self.asked = np.maximum(np.ceil(self.score - 1 - 1e-9).astype(np.int64), 1)
+        parts = [(_pairs(w, far), k) for k, w in enumerate(self.words) if len(w) >= FEWEST for far in FAR]
         self.gram = np.concatenate([np.zeros(0, np.uint64), *(g for g, _ in parts)])
         self.item = np.concatenate([np.zeros(0, np.int64), *(np.full(len(g), k) for g, k in parts)])
         self.at = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g, _ in parts)])
@@ -83,66 +102,90 @@ class Items:
         self.likely = np.zeros(1 << 22, bool)
         self.likely[(self.known >> np.uint64(42)).astype(np.int64)] = True
 
-    def winnowed(self, counts: np.ndarray, winnow: int = WINNOW) -> Items:
-        """With only the rarest n-gram of each run of neighbours; ``counts`` go with ``known``."""
-        rarity = np.repeat(counts, self.n)
-        keep = np.zeros(len(self.gram), bool)
-        order = np.lexsort((self.at, self.item))
-        edges = np.flatnonzero(np.diff(self.item[order], prepend=-1, append=-1))
-        for first, last in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            mine = order[first:last]
-            r = rarity[mine]
-            for x in range(max(1, len(r) - winnow + 1)):
-                keep[mine[x + int(np.argmin(r[x : x + winnow]))]] = True
+    def without_common(self, counts: np.ndarray) -> Items:
+        """Without the commonest places of each item, half as many as a copy has pairs; ``counts`` go with ``known``."""
+        spared = self.asked // 2
+        common = np.repeat(counts, self.n)
+        place, of = np.unique(np.stack([self.item, self.at]), axis=1, return_inverse=True)
+        weight = np.bincount(of.ravel(), common, minlength=place.shape[1])
+        order = np.lexsort((place[1], -weight, place[0]))
+        item = place[0][order]
+        nth = np.arange(len(item)) - np.searchsorted(item, item)
+        stays = np.zeros(len(item), bool)
+        stays[order] = nth >= spared[item]
+        keep = stays[of.ravel()]
         out = object.__new__(Items)
-        out.ids, out.words = self.ids, self.words
+        out.ids, out.words, out.score, out.span, out.asked = self.ids, self.words, self.score, self.span, self.asked - spared
         out.gram, out.item, out.at = self.gram[keep], self.item[keep], self.at[keep]
         out._sorted()
         return out
 
     def find(self, h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where an n-gram of the items stands within one text: index in ``known`` and first word."""
-        grams = rolling(h, NGRAM)
-        if not len(self.known) or not len(grams):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pos = np.flatnonzero(self.likely[(grams >> np.uint64(42)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(self.known, grams[pos]), len(self.known) - 1)
+        """Where a pair of the items stands within one text: index in ``known`` and first word, in the order of these."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for far in FAR if len(self.known) else ():
+            grams = _pairs(h, far)
+            pos = np.flatnonzero(self.likely[(grams >> np.uint64(42)).astype(np.int64)])
+            k = np.minimum(np.searchsorted(self.known, grams[pos]), len(self.known) - 1)
+            same = self.known[k] == grams[pos]
+            k, pos = k[same], pos[same]
+            same = pos + far < begin[np.searchsorted(begin, pos, side="right")]
+            found.append((k[same], pos[same]))
+        k, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(pos, kind="stable")
+        return k[order], pos[order]
+
+    def passages(self, k: np.ndarray, pos: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Text, item, first and one past the last word of what has enough pairs of an item within the span of a copy."""
+        n = self.n[k]
+        of = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pos, item = np.repeat(pos, n), self.item[of]
         doc = np.searchsorted(begin, pos, side="right") - 1
-        same = (self.known[k] == grams[pos]) & (pos + NGRAM <= begin[doc + 1])
-        return k[same], pos[same]
-
-    def hits(self, texts: list[str | None], least: float) -> list[list[tuple[int, float, int, int]]]:
+        order = np.lexsort((pos, item, doc))
+        doc, item, pos = doc[order], item[order], pos[order]
+        last = np.arange(len(pos)) + self.asked[item] - 1
+        first = np.flatnonzero(last < len(pos))
+        last = last[first]
+        near = (doc[last] == doc[first]) & (item[last] == item[first]) & (pos[last] - pos[first] < self.span[item[first]])
+        first, last = first[near], last[near]
+        if not len(first):
+            return
+        doc, item, lo, hi = doc[first], item[first], pos[last], pos[first]
+        lo, hi = np.maximum(begin[doc], lo - self.span[item]), np.minimum(begin[doc + 1], hi + self.span[item])
+        # what overlaps is one passage
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])]))
+        yield from zip(doc[new].tolist(), item[new].tolist(), lo[new].tolist(), hi[np.append(new[1:], len(doc)) - 1].tolist(), strict=True)
+
+    def hits(self, texts: list[str | None]) -> list[list[tuple[int, float, int, int]]]:
         """Of each text: item_id, score, first and one past the last word of the passage."""
         h, begin = _words(texts)
         k, pos = self.find(h, begin)
-        if not len(k):
-            return [[] for _ in texts]
-        n = self.n[k]
-        of = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pos = np.repeat(pos, n)
-        doc, item, shift = np.searchsorted(begin, pos, side="right") - 1, self.item[of], pos - self.at[of]
-        order = np.lexsort((shift, item, doc))
-        doc, item, shift = doc[order], item[order], shift[order]
-        size = np.array([len(w) for w in self.words], np.int64)
-        pad = size // 4 + 4
-        # places on neighbouring diagonals are one passage
-        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > pad[item[1:]])])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(doc)) - 1
         out: list[list] = [[] for _ in texts]
-        work = []
-        for f, e in zip(first.tolist(), last.tolist(), strict=True):
-            d, i = int(doc[f]), int(item[f])
-            lo, hi = max(int(begin[d]), int(shift[f] - pad[i])), min(int(begin[d + 1]), int(shift[e] + size[i] + pad[i]))
-            part = h[lo:hi]
-            # no alignment scores more than the words that the item has too
-            if np.isin(part, self.words[i]).sum() >= least * size[i]:
-                work.append((d, i, lo, part))
+        if not len(k):
+            return out
+        reach, total = int(self.span.max()), np.cumsum(self.n[k])
+        work, lo, hi = [], 0, 0
+        while hi < len(h):
+            # pieces overlap by the longest copy, so each copy is within one
+            a = int(np.searchsorted(pos, lo))
+            b = int(np.searchsorted(total, (total[a - 1] if a else 0) + HELD, side="right"))
+            hi = len(h) if b >= len(pos) else max(int(pos[b]), lo + 2 * reach)
+            b = int(np.searchsorted(pos, hi))
+            for d, i, x, y in self.passages(k[a:b], pos[a:b], begin):
+                part = h[x:y]
+                # no alignment scores more than the words that both have
+                if np.isin(self.words[i], part).sum() >= self.score[i] - 1e-9 and np.isin(part, self.words[i]).sum() >= self.score[i] - 1e-9:
+                    work.append((d, i, x, part))
+            lo = hi - reach
         work.sort(key=lambda w: (len(w[3]), len(self.words[w[1]])))
-        for at in range(0, len(work), TOGETHER):
-            some = work[at : at + TOGETHER]
+        at = 0
+        while at < len(work):
+            stop = at + 1
+            while stop < min(len(work), at + TOGETHER) and (stop + 1 - at) * len(work[stop][3]) <= TOGETHER_WORDS:
+                stop += 1
+            some, at = work[at:stop], stop
             got = align([self.words[w[1]] for w in some], [w[3] for w in some])
-            some = [(*w, *g) for w, g in zip(some, got.tolist(), strict=True) if g[0] >= max(least * len(self.words[w[1]]), min(len(self.words[w[1]]), LEAST_WORDS)) - 1e-9]
+            some = [(*w, *g) for w, g in zip(some, got.tolist(), strict=True) if g[0] >= self.score[w[1]] - 1e-9]
             if not some:
                 continue
             # the same backwards from where the alignment ends gives where it begins
@@ -162,7 +205,7 @@ def _best(found: list[tuple[int, float, int, int]]) -> list[tuple[int, float, in
 
 
 def gram_counts(df: DataFrame, items: Items) -> np.ndarray:
-    """How often each n-gram of the items occurs in all documents; the driver holds one number for each."""
+    """How often each pair of the items occurs in all documents; the driver holds one number for each."""
     held = df.sparkSession.sparkContext.broadcast(items)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,13 +231,13 @@ def scan(df: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame
     for k in range(blocks):
         # one block of the test items, of bounded size
         rows = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").collect()
-        items = Items([r[0] for r in sorted(rows)], [r[1] for r in sorted(rows)])
-        seeds = df.sparkSession.sparkContext.broadcast(items.winnowed(gram_counts(df, items)))
+        items = Items([r[0] for r in sorted(rows)], [r[1] for r in sorted(rows)], least)
+        seeds = df.sparkSession.sparkContext.broadcast(items.without_common(gram_counts(df, items)))
 
         def work(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
             at = names.index("text")
             for batch in slices(batches, limit=PIECE):
-                found = seeds.value.hits(batch.column(at).to_pylist(), least)
+                found = seeds.value.hits(batch.column(at).to_pylist())
                 had = batch.column(len(names) - 1).to_pylist()
                 both = [[*(tuple(x.values()) for x in old or []), *new] or None for old, new in zip(had, found, strict=True)]
                 kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))

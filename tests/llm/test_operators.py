@@ -58,6 +58,42 @@ def test_decontamination_finds_copies_and_edits(spark, docs):
     assert 0.6 < got[1]["score"] < 1.0
 
 
+def test_decontamination_finds_copies_with_every_nth_word_changed(spark, docs):
+    rng = random.Random(12)
+    items = [prose(rng, 40) for _ in range(4)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+
+    def changed(item, n, into):
+        return " ".join(into(w) if k % n == n - 1 else w for k, w in enumerate(item.split()))
+
+    ways = [(n, into) for n in (3, 4, 5, 6) for into in (lambda w: "changed", lambda w: rng.choice(VOCABULARY))] + [(1, lambda w: f"{w} more")]
+    texts = [items[0]] + [prose(rng, 60) + " " + changed(items[k % 4], n, into) + " " + prose(rng, 60) for k, (n, into) in enumerate(ways)] + [prose(rng, 400) for _ in range(10)]
+    got = rows(QUERIES["op1_decontaminate"](spark, docs(texts, benchmark=bench)), "doc_id", "item_id")
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(0, 0)] + [(k + 1, k % 4) for k in range(len(ways))]
+
+
+def test_decontamination_aligns_whatever_reaches_the_least_score(monkeypatch):
+    rng = random.Random(13)
+    items = [prose(rng, n) for n in (2, 3, 5, 9, 20, 33, 60)]
+    texts = [prose(rng, 80)]
+    for item in items * 12:
+        w, much = item.split(), rng.choice((0.1, 0.2, 0.3, 0.4, 0.5))
+        edited = [x for v in w for x in ([v] if rng.random() > much else rng.choice(([], [rng.choice(VOCABULARY)], [v, rng.choice(VOCABULARY)])))]
+        texts.append(prose(rng, rng.randint(0, 50)) + " " + " ".join(edited) + " " + prose(rng, rng.randint(0, 50)))
+    found = decontaminate.Items(list(range(len(items))), items)
+    h, begin = decontaminate._words(texts)
+    want = []
+    for x, y in zip(begin[:-1], begin[1:], strict=True):
+        score = [decontaminate.align([w], [h[x:y]])[0, 0] for w in found.words]
+        want.append([(i, round(s / len(w), 6)) for i, (s, w) in enumerate(zip(score, found.words, strict=True)) if len(w) >= 3 and s >= found.score[i] - 1e-9])
+    assert sum(map(len, want)) > 40
+    k, _ = found.find(h, begin)
+    seeds = found.without_common(np.bincount(k, minlength=len(found.known)))
+    for held in (decontaminate.HELD, 50):
+        monkeypatch.setattr(decontaminate, "HELD", held)
+        assert [[x[:2] for x in hits] for hits in seeds.hits(texts)] == want
+
+
 def test_alignment_matches_a_plain_table():
     rng = np.random.default_rng(2)
     for _ in range(20):
