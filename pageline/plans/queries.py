@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pageline.functions.text import first_words, loosely_starts, squeezed, topic_words, without_space
+from pageline.functions.text import first_words, squeezed, topic_words
 from pageline.operators import canary, ranges, ranking, retention, status, trace
 from pageline.operators.cachekeys import page_key, ranking_key, short_hash
 from pageline.operators.lines import first_most_frequent, islands
@@ -309,35 +309,52 @@ def headline_check(spark: SparkSession, d: str) -> DataFrame:
     return first_lines(spark, d).select("doc_id", headline_quality(F.col("headline")).alias("quality"))
 
 
-_BARE = "regexp_replace({}, '[.,;:!?\"''‘’“”]', '', 'g')"
+#: Letters of a block, by which quotes are looked up.
+BLOCKS = (16, 8, 4, 2, 1)
 
 
 @query(
-    f"""WITH {LINES_SQL}, x AS (SELECT doc_id, line_no, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS x FROM l),
-    y AS (SELECT item_id, trim(regexp_replace(lower(array_to_string(string_split(text, ' ')[1:2], ' ')), '\\s+', ' ', 'g')) AS y FROM benchmark),
-    z AS (SELECT item_id, y FROM y WHERE length(replace({_BARE.format('y')}, ' ', '')) >= 4)
-    SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, item_id, starts_with(x, y) AS as_is, starts_with(replace(x, ' ', ''), replace(y, ' ', '')) AS without_space, starts_with({_BARE.format('x')}, {_BARE.format('y')}) AS without_marks
-    FROM x JOIN z ON starts_with(x, y) OR starts_with(replace(x, ' ', ''), replace(y, ' ', '')) OR starts_with({_BARE.format('x')}, {_BARE.format('y')})"""
+    """WITH d AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) AS x FROM documents), b AS (SELECT item_id, trim(regexp_replace(lower(left(text, 60)), '\\s+', ' ', 'g')) AS y FROM benchmark),
+    s AS (SELECT item_id, y, replace(y, ' ', '') AS y2, regexp_replace(y, '[.,;:!?"''‘’“”]', '', 'g') AS y3 FROM b)
+    SELECT doc_id, item_id, contains(x, y) AS as_is, contains(replace(x, ' ', ''), y2) AS without_space, contains(regexp_replace(x, '[.,;:!?"''‘’“”]', '', 'g'), y3) AS without_marks
+    FROM d JOIN s ON contains(x, y) OR contains(replace(x, ' ', ''), y2) OR contains(regexp_replace(x, '[.,;:!?"''‘’“”]', '', 'g'), y3)"""
 )
 def checksum_prefix(spark: SparkSession, d: str) -> DataFrame:
-    """Lines that begin with the first words of a test item, in the three ways of loose matching.
+    """Documents that quote the beginning of a test item, in the three ways of loose matching.
 
-    Whatever matches in one of these ways has the same first letters once white space and punctuation are gone, so the join is an equality.
+    Whatever matches in one of these ways matches too once white space and punctuation are gone. A document's letters are then cut into
+    blocks of q; a quote of 2q - 1 letters holds one of them whole, which begins with one of its first q letters. So an equality join of
+    hashes leads to all pairs, and these are compared. Shorter quotes have shorter blocks; one without any letter meets all documents.
     """
     from pageline.functions.text import LOOSE
 
+    spaceless = lambda c: F.replace(c, F.lit(" "), F.lit(""))
     bare = lambda c: F.regexp_replace(c, LOOSE, "")
-    key = lambda c: F.substring(bare(without_space(c)), 1, 4)
-    start = squeezed(F.array_join(F.slice(F.split("text", " "), 1, 2), " "))
-    y = table(spark, d, "benchmark").select("item_id", start.alias("y")).withColumn("key", key(F.col("y"))).filter(F.length("key") == 4)
-    x = lines(spark, d).select("doc_id", "line_no", squeezed(F.col("text")).alias("x")).withColumn("key", key(F.col("x")))
-    both = x.join(y, "key").filter(loosely_starts(F.col("x"), F.col("y")))
+    letters = lambda c: spaceless(bare(c))
+    block = F.lit(0)
+    for q in reversed(BLOCKS):
+        block = F.when(F.length("z") >= 2 * q - 1, q).otherwise(block)
+    b = table(spark, d, "benchmark").select("item_id", squeezed(F.substring("text", 1, 60)).alias("y")).filter("y is not null")
+    b = b.withColumn("k", F.xxhash64("y")).withColumn("z", letters(F.col("y"))).withColumn("q", block)
+    docs = table(spark, d, "documents").select("doc_id", squeezed(F.coalesce("text", F.lit(""))).alias("x"))
+    # the lengths of blocks that are needed: a few numbers
+    needed = sorted(r.q for r in b.select("q").distinct().collect())
+    pairs = docs.limit(0).crossJoin(b.select("item_id", "y"))
+    for q in needed:
+        if q == 0:
+            pairs = docs.crossJoin(b.filter("q = 0").select("item_id", "y"))
+            continue
+        keys = b.filter(F.col("q") == q).select("k", F.explode(F.sequence(F.lit(1), F.lit(q))).alias("at"), "z").select("k", F.xxhash64(F.substring("z", F.col("at"), F.lit(q))).alias("h")).distinct()
+        cut = docs.select("doc_id", F.explode(F.regexp_extract_all(letters(F.col("x")), F.lit("(?s).{%d}" % q), F.lit(0))).alias("part"))
+        found = cut.select("doc_id", F.xxhash64("part").alias("h")).join(keys, "h").select(F.col("doc_id").alias("found_id"), "k").distinct()
+        near = docs.join(found, F.col("doc_id").eqNullSafe(F.col("found_id"))).join(b.filter(F.col("q") == q).select("k", "item_id", "y"), "k")
+        pairs = pairs.unionByName(near.select("doc_id", "x", "item_id", "y"))
     ways = {
-        "as_is": F.startswith("x", "y"),
-        "without_space": F.startswith(without_space(F.col("x")), without_space(F.col("y"))),
-        "without_marks": F.startswith(bare(F.col("x")), bare(F.col("y"))),
+        "as_is": F.contains(F.col("x"), F.col("y")),
+        "without_space": F.contains(spaceless(F.col("x")), spaceless(F.col("y"))),
+        "without_marks": F.contains(bare(F.col("x")), bare(F.col("y"))),
     }
-    return both.select("doc_id", "line_no", "item_id", *(c.alias(n) for n, c in ways.items()))
+    return pairs.select("doc_id", "item_id", *(c.alias(n) for n, c in ways.items())).filter("as_is or without_space or without_marks")
 
 
 #: Lines of two small paragraphs: number, place, text, whether a single glyph.

@@ -28,6 +28,21 @@ def test_query_says_what_its_sql_says(spark, sf_dir, db, name):
     assert rows(got) == rows(db.execute(registry.ORACLES[name]).df())
 
 
+def test_quotes_are_found_anywhere_and_of_any_length(spark, tmp_path):
+    long = "De í lamo, vesti cor-ano: ruti mela sono para tive kolu nam beso \U0001f600 quid"
+    items = [(1, long), (2, "As a"), (3, "De í"), (4, "x"), (5, "?!"), (6, ""), (7, None), (8, "abcdefg hij"), (8, "abcdefg hij"), (9, "I, a.b")]
+    inner = long[:60]
+    texts = [(1, f"words before {inner} and after"), (2, f"first line\nxx{inner.upper().replace(' ', '')}"), (3, inner.replace(",", "").replace(":", "")), (4, inner[:59]), (5, "was a one"), (6, None), (7, "zabc defghij"), (7, "no"), (None, "AbcDefg   hij"), (10, "what?! i ab"), (11, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = registry.QUERIES["checksum_prefix"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(con.execute(registry.ORACLES["checksum_prefix"]).df())
+    assert {(1, 1), (2, 1), (3, 1), (5, 2), (7, 8)} <= set(zip(got.doc_id, got.item_id))
+
+
 def test_entry(spark, sf_dir):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
