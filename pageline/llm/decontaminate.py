@@ -2,7 +2,7 @@
 
 Words are runs of letters and digits, lower-cased. A document's passage is aligned with the whole item (match +1, mismatch and gap
 -``LOSS``). The score is the best local alignment over the item's words; from ``LEAST`` on (and ``LEAST_WORDS`` words' worth) the
-document holds a copy, edited or not.
+document holds a copy, edited or not. An alignment worth ``ENOUGH`` words suffices however long the item is.
 
 No such copy is missed. An alignment of score S with M matches and E edits has M - E / 2 >= S; of the M - 1 steps from one match to the
 next at most E / 2 hold two edits or more, so S - 1 steps hold one at most. Such a step is a pair of words that stand one or two words
@@ -39,6 +39,8 @@ LOSS = 0.5
 LEAST = 0.4
 #: Least score of a hit in words, or the whole item where it is shorter.
 LEAST_WORDS = 8
+#: Score of a hit in words, whatever share of its item that is: chance doesn't bring so many in a row.
+ENOUGH = 13
 BLOCK_BYTES = 8 << 20
 PIECE = 1 << 20
 #: Places of pairs that are looked at together.
@@ -86,7 +88,7 @@ class Items:
         self.ids, self.words = ids, [h[x:y] for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
         size = np.array([len(w) for w in self.words], np.int64)
         #: Least score of a copy, most words that one spans, and pairs of it that a document has.
-        self.score = np.maximum(least * size, np.minimum(size, LEAST_WORDS))
+        self.score = np.minimum(np.maximum(least * size, np.minimum(size, LEAST_WORDS)), ENOUGH)
         self.span = np.ceil(size + (size - self.score) / LOSS).astype(np.int64)
         self.asked = np.maximum(np.ceil(self.score - 1 - 1e-9).astype(np.int64), 1)
         parts = [(_pairs(w, far), k) for k, w in enumerate(self.words) if len(w) >= FEWEST for far in FAR]

@@ -72,6 +72,17 @@ def test_decontamination_finds_copies_with_every_nth_word_changed(spark, docs):
     assert [(r["doc_id"], r["item_id"]) for r in got] == [(0, 0)] + [(k + 1, k % 4) for k in range(len(ways))]
 
 
+def test_decontamination_finds_passages_of_long_items(spark, docs):
+    rng = random.Random(14)
+    items = [prose(rng, 63), prose(rng, 300)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    parts = [items[0].split()[30:43], items[0].split()[:25], items[1].split()[100:219], items[1].split()[280:293], items[0].split()[30:39]]
+    texts = [prose(rng, 70) + " " + " ".join(p) + " # " + prose(rng, 70) for p in parts]
+    got = rows(QUERIES["op1_decontaminate"](spark, docs(texts, benchmark=bench)), "doc_id", "item_id")
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(0, 0), (1, 0), (2, 1), (3, 1)]
+    assert all(r["score"] < 0.4 and r["start_word"] <= 70 and r["end_word"] >= 70 + len(p) for r, p in zip(got, parts, strict=False))
+
+
 def test_decontamination_aligns_whatever_reaches_the_least_score(monkeypatch):
     rng = random.Random(13)
     items = [prose(rng, n) for n in (2, 3, 5, 9, 20, 33, 60)]
