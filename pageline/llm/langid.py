@@ -5,8 +5,8 @@ An n-gram is one to three letters or word edges (a gap counts as one blank); tex
 frequent ones, ties by code point. The distance of a document to a language sums how far each of its own top n-grams is out of place,
 ``TOP`` where the profile lacks it; the score is 1 less that distance as a share of the largest possible one.
 
-Profiles are fitted on a bounded sample: at most ``SAMPLE`` documents of each language, the lowest by a hash of their id, and at most
-``LANGS`` languages, the commonest. Every document is then judged by its whole text.
+Profiles are fitted on a bounded sample: at most ``SAMPLE`` documents of each language, the lowest by a hash of their id. Every language
+that a row names has one. Every document is then judged by its whole text.
 
 Cases. Null texts and texts without a letter give ``und`` and score 0. Rows without a language teach nothing; where no row teaches, all
 documents give ``und``. Ties between languages go to the first by code point. Empty tables give no rows, repeated rows equal results;
@@ -27,7 +27,8 @@ from pageline.llm.common import documents, slices
 
 TOP = 300
 SAMPLE = 400
-LANGS = 256
+#: Up to so many languages the sample's ids are sent to all documents; those of more meet them in a join.
+FEW = 256
 UNKNOWN = "und"
 _LETTERS: np.ndarray | None = None
 
@@ -68,33 +69,36 @@ def ranked(grams: np.ndarray, counts: np.ndarray, top: int = TOP) -> np.ndarray:
 
 
 class Profiles:
-    """Ranks of each language's n-grams, side by side."""
+    """Ranks of each language's n-grams: for each n-gram the languages that have it, and its places there."""
 
     def __init__(self, ranks: dict[str, np.ndarray], top: int = TOP):
         self.langs, self.top = sorted(ranks), top
-        self.grams = np.unique(np.concatenate([np.zeros(0, np.int64), *ranks.values()]))
-        self.place = np.full((len(self.langs), len(self.grams) + 1), -1, np.int32)
-        for i, lang in enumerate(self.langs):
-            self.place[i, np.searchsorted(self.grams, ranks[lang])] = np.arange(len(ranks[lang]))
+        grams = np.concatenate([np.zeros(0, np.int64), *(ranks[lang] for lang in self.langs)])
+        lang = np.repeat(np.arange(len(self.langs)), [len(ranks[x]) for x in self.langs])
+        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(ranks[x])) for x in self.langs)])
+        order = np.argsort(grams, kind="stable")
+        self.lang, self.place = lang[order].astype(np.int32), place[order].astype(np.int32)
+        self.grams, self.first, self.n = np.unique(grams[order], return_index=True, return_counts=True)
 
     def judge(self, text: str | None) -> tuple[str, float]:
         own = ranked(*gram_counts(text), self.top)
-        if not len(own) or not self.langs:
+        if not len(own) or not len(self.grams):
             return UNKNOWN, 0.0
-        at = np.searchsorted(self.grams, own)
-        at[(at == len(self.grams)) | (self.grams[np.minimum(at, len(self.grams) - 1)] != own)] = len(self.grams)
-        place = self.place[:, at]
-        away = np.where(place < 0, self.top, np.abs(place - np.arange(len(own)))).sum(axis=1)
-        best = int(np.argmin(away))
-        return self.langs[best], round(1 - float(away[best]) / (self.top * len(own)), 6)
+        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+        rank = np.flatnonzero(self.grams[at] == own)
+        n = self.n[at[rank]]
+        of = np.repeat(self.first[at[rank]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        # what a profile has is nearer than ``top`` by so much
+        near = np.bincount(self.lang[of], self.top - np.abs(self.place[of] - np.repeat(rank, n)), len(self.langs))
+        best = int(np.argmax(near))
+        return self.langs[best], round(1 - float(self.top * len(own) - near[best]) / (self.top * len(own)), 6)
 
 
-def fit(df: DataFrame, sample: int = SAMPLE, top: int = TOP, langs: int = LANGS) -> Profiles:
+def fit(df: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Profiles:
     """Profiles from the rows of ``df`` (doc_id, text, lang) that name a language."""
     named = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang").withColumn("draw", F.xxhash64("doc_id"))
-    common = [r.lang for r in named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()]
+    few = named.select("lang").distinct().limit(FEW + 1).count() <= FEW
     # the lowest hashes of each language: first within a slice, so that no task sorts a whole language
-    named = named.filter(F.col("lang").isin(common))
     for keys in (["lang", F.pmod(F.col("draw"), F.lit(64))], ["lang"]):
         named = named.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("draw", "doc_id"))).filter(F.col("nth") <= sample)
     chosen = named.select("doc_id", F.col("lang").alias("of"))  # at most sample x langs rows
@@ -109,7 +113,7 @@ def fit(df: DataFrame, sample: int = SAMPLE, top: int = TOP, langs: int = LANGS)
             n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(grams)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
 
-    texts = df.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("of").alias("lang"))
+    texts = df.select("doc_id", "text").join(F.broadcast(chosen) if few else chosen, "doc_id").select("text", F.col("of").alias("lang"))
     counts = texts.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = counts.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("nth") <= top)
     found = first.select("lang", "gram", "nth").toPandas().sort_values(["lang", "nth"])  # at most top x langs rows

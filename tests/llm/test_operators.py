@@ -258,6 +258,28 @@ def test_language_profiles(spark, docs, awkward):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_every_language_has_a_profile(spark, docs):
+    code = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(3))
+    texts = [" ".join([code(k * 37 % 17576)] * 5) for k in range(300) for _ in range(8)]
+    langs = [f"l{k:03d}" for k in range(300) for _ in range(8)]
+    got = rows(QUERIES["op6_language_id"](spark, docs(texts, langs)), "doc_id")
+    taught = {lang for r, lang in zip(got, langs, strict=True) if not r["held_out"]}
+    assert len(taught) > 290
+    assert all(r["lang_pred"] == lang for r, lang in zip(got, langs, strict=True) if lang in taught)
+
+
+def test_judgement_matches_plain_distances():
+    rng = random.Random(15)
+    texts = [prose(rng, 60) for _ in range(6)]
+    ranks = {f"l{i}": langid.ranked(*langid.gram_counts(t)) for i, t in enumerate(texts)}
+    profiles = langid.Profiles(ranks)
+    for text in [prose(rng, n) for n in (1, 3, 30, 200)] + ["中文"]:
+        own = langid.ranked(*langid.gram_counts(text)).tolist()
+        away = [sum(abs(x.tolist().index(g) - i) if g in x else langid.TOP for i, g in enumerate(own)) for x in ranks.values()]
+        best = away.index(min(away))
+        assert profiles.judge(text) == (f"l{best}", round(1 - min(away) / (langid.TOP * len(own)), 6))
+
+
 def test_ranks_and_distance_by_hand():
     grams, counts = langid.gram_counts("Ab1ab")
     assert sum(counts) == 4 + 6 + 5  # letters, pairs and triples over " ab ab "
