@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 import zipfile
@@ -41,13 +42,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; one of its own only where none is set."""
+    """The folder that driver and executors share, as the session names it. Where none is set, a local session gets one of its own (driver and
+    executors are one process there); on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
-    if not named:
+    if not named and spark.sparkContext.master.startswith("local"):
         named = tempfile.mkdtemp(prefix="pageline-")
+    if not named:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -88,39 +92,58 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64 over unsigned 64-bit integers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-#: Base of the word hashes (odd, so it has an inverse modulo 2 ** 64), and bytes that are hashed together.
+#: Base of the window hashes (odd), and bytes that are hashed together.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 PIECE_BYTES = 1 << 19
-_POWERS: list[np.ndarray] = []
 _IS_GAP = np.zeros(256, bool)
 _IS_GAP[[9, 10, 11, 12, 13, 32]] = True
-_VALUE = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * ~_IS_GAP
-_VALUE_LOWER = _VALUE.copy()
-_VALUE_LOWER[65:91] = _VALUE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Words of more bytes are hashed one by one.
+LONG = 256
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+_SIZES = mix64(np.arange(LONG + 2, dtype=np.uint64) * _BASE)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, PIECE_BYTES + 64)
-        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, _BASE_INV)]
-    return _POWERS[0], _POWERS[1]
+def _stir(held: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """``more`` mixed into ``held``."""
+    x = held ^ more
+    x *= np.uint64(0xD1342543DE82EF95)
+    x += np.uint64(0x2545F4914F6CDD1D)
+    return mix64(x)
 
 
-def _hash_piece(raw: np.ndarray, value: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hash_piece(raw: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of ``raw``: eight bytes at a time are mixed into what is there already, by steps that are not linear."""
     gap = gaps[raw]
     edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends
-    power, inverse = _powers(len(raw))
-    sums = np.add.reduceat(value[raw] * power[: len(raw)], starts)
-    return mix64(sums * inverse[starts] + (ends - starts).astype(np.uint64)), starts, ends
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = _stir(_SIZES[np.minimum(size, LONG + 1)], eight[starts] & _MASKS[np.minimum(size, 8)])
+    left = np.flatnonzero(size > 8)
+    for done in range(8, LONG, 8):
+        if not len(left):
+            return out, starts, ends
+        more = size[left] - done
+        out[left] = _stir(out[left], eight[starts[left] + done] & _MASKS[np.minimum(more, 8)])
+        left = left[more > 8]
+    for k in left.tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out, starts, ends
 
 
 #: All ASCII bytes but letters and digits.
@@ -132,7 +155,6 @@ def word_hashes(texts: list[bytes | None], lower: bool = False, gaps: np.ndarray
 
     ``lower``: A-Z count as a-z. ``gaps``: which bytes stand between words; a line end must be among them. Work goes by pieces, cut at white space, so a very long text needs no very long temporaries.
     """
-    value = (_VALUE_LOWER if lower else _VALUE) * ~gaps
     data = b"\n".join(t or b"" for t in texts)
     raw = np.frombuffer(data, np.uint8)
     hashes, places, at = [], [], 0
@@ -144,7 +166,7 @@ def word_hashes(texts: list[bytes | None], lower: bool = False, gaps: np.ndarray
             if len(found):
                 end = max(at, end - 4096) + int(found[-1])
                 break
-        h, starts, _ = _hash_piece(raw[at:end], value, gaps)
+        h, starts, _ = _hash_piece(_LOWER[raw[at:end]] if lower else raw[at:end], gaps)
         hashes.append(h)
         places.append(starts + at)
         at = end
