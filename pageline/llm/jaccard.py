@@ -13,15 +13,17 @@ buckets that stand out from the mean by ``STANDOUT`` standard deviations. A wron
 
 Documents that meet under an index entry are candidates: all pairs of a small group, but for large groups only the lowest id with each
 other one. How many single shingles a pair shares in its prefixes bounds the whole overlap from above: what is not counted lies behind
-the prefix that ends first, or in large groups. Candidates that the bound leaves are verified exactly, over their whole texts. Then, for large groups that still span several components, the
-pairs across components follow, so that no link between them is missed. Equal sets are linked without being compared.
+the prefix that ends first, or in large groups. Candidates that the bound leaves are verified exactly, over the words of their whole
+texts; only texts of documents in such a pair travel. Then, for large groups that still span several components, the pairs across
+components follow, so that no link between them is missed. Equal sets (equal in size and 128 bits) are linked without being compared.
 
-Cases. Null and empty texts have no shingle, are linked with nothing and are their own component. Fewer than five words are one
+Cases. A null doc_id is linked with nothing; its component_id is null. Null and empty texts have no shingle, are linked with nothing and are their own component. Fewer than five words are one
 shingle, that of the whole sequence. Repeated rows and ids fall together. Empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
@@ -49,8 +51,12 @@ BLOCK_SHINGLES = 500_000
 #: Index entries that one task sorts at a time, about, and members that one task compares with a hub.
 PART_ENTRIES = 1_000_000
 COMPARED = 256
+#: Stands for no component.
+_NONE = -(1 << 63)
 #: Texts of one piece of work.
 PIECE = 1 << 20
+#: Most bits of the filter of ids whose texts travel, as a power of two (16 MB).
+MOST_FILTER_BITS = 27
 
 
 def shingle_sets(texts: list[bytes | None], words: int = WORDS) -> list[np.ndarray]:
@@ -78,6 +84,17 @@ def alike(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> bool:
     return 100 * both >= least * (len(a) + len(b) - both)
 
 
+def shingle_words(text: bytes, words: int = WORDS) -> set[bytes]:
+    """The distinct shingles of a text as words."""
+    w = text.lower().split()  # ASCII letters and ASCII white space alone, as these are bytes
+    return {b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def truly_alike(a: set[bytes], b: set[bytes], least: int = LEAST) -> bool:
+    both = len(a & b)
+    return 100 * both >= least * (len(a) + len(b) - both) and both > 0
+
+
 def _size_class(n: int, least: int) -> int:
     """Classes grow by 100 / least, so similar sets are in the same or in neighbouring ones."""
     k, top = 0, 1.0
@@ -355,15 +372,53 @@ def _possible(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     return pairs.filter(fits & (F.col("c") + rest >= asked) & ((F.col("c") > 0) | (F.least("common_a", "common_b") >= asked))).select("a", "b")
 
 
-def _packed_texts(df: DataFrame) -> DataFrame:
-    """doc_id and the text, compressed, for shuffles that carry texts."""
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix64(ids.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """A filter of the ids (column doc_id), one bit each of some 16 a stored id: packed bits, ``MOST_FILTER_BITS`` at most.
+
+    It lets all stored ids pass, and few others; were it ever too full, it would only let more pass.
+    """
+    bits = max(16, min(MOST_FILTER_BITS, (16 * ids.count()).bit_length()))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(1 << bits, bool)
+        for batch in batches:
+            found[_places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits)] = True
+        packed = np.packbits(found)
+        block = [k for k in range(0, len(packed), 1 << 13) if packed[k : k + (1 << 13)].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array([packed[k : k + (1 << 13)].tobytes() for k in block], pa.binary())], ["at", "bits"])
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[at] = held[at] | np.frombuffer(data, np.uint8) if at in held else np.frombuffer(data, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["at", "bits"])
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in ids.select("doc_id").mapInArrow(mark, "at int, bits binary").repartition("at").mapInArrow(both, "at int, bits binary").collect():
+        out[r["at"] : r["at"] + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _packed_texts(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and the text, compressed, for shuffles that carry texts: of the documents in ``ids`` and the few others that its filter
+    lets pass."""
+    wanted = df.sparkSession.sparkContext.broadcast(_id_filter(ids))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["doc_id", "packed"])
+        press, known = zstandard.ZstdCompressor(level=1), wanted.value
+        bits = (8 * len(known)).bit_length() - 1
+        for batch in batches:
+            at = _places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits)
+            kept = batch.filter(pa.array((known[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            for piece in slices([kept]):
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([press.compress(t or b"") for t in piece.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["doc_id", "packed"])
 
-    return df.mapInArrow(work, "doc_id long, packed binary")
+    return df.filter("doc_id is not null").mapInArrow(work, "doc_id long, packed binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFrame:
@@ -374,15 +429,15 @@ def verified(pairs: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFram
     sent = texts.join(dealt.unionByName(own), "doc_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, hub, mine = zstandard.ZstdDecompressor(), None, None
+        open_, hub, mine, said = zstandard.ZstdDecompressor(), None, None, set()
         for batch in slices(batches, "packed", PIECE):
             docs, roles = batch.column(1).to_pylist(), batch.column(3).to_pylist()
-            sets = shingle_sets([open_.decompress(x) for x in batch.column(4).to_pylist()])
+            texts = [open_.decompress(x) for x in batch.column(4).to_pylist()]
             a, b = [], []
-            for doc, of, role, s in zip(docs, batch.column(0).to_pylist(), roles, sets, strict=True):
+            for doc, of, role, s, text in zip(docs, batch.column(0).to_pylist(), roles, shingle_sets(texts), texts, strict=True):
                 if role == 0:
-                    hub, mine = of, s
-                elif hub == of and alike(mine, s, least):
+                    hub, mine, said = of, s, shingle_words(text)
+                elif hub == of and alike(mine, s, least) and truly_alike(said, shingle_words(text), least):
                     a.append(of)
                     b.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -421,22 +476,40 @@ def _forest(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _families(member: DataFrame, about: DataFrame, labels: DataFrame, packed: DataFrame, least: int) -> DataFrame:
-    """Links (a, b) within families that span several components: pairs of blocks are compared in full."""
+def _families(member: DataFrame, about: DataFrame, labels: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """Links (a, b) within families that span several components, from blocks that are compared in full.
+
+    A block holds documents of one class of size, and of one component if that fills blocks alone. Blocks meet if their classes are the
+    same or next to each other and not all their documents are linked already: a large component meets what is outside, not itself.
+    """
     lead = member.groupBy("entry").agg(F.min("doc_id").alias("a"))
     ties = member.join(lead, "entry").select("a", F.col("doc_id").alias("b")).filter("a <> b").distinct()
     family = components(ties).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     family = family.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").join(about.select("doc_id", "n"), "doc_id")
-    family = written(family.select("doc_id", "family", "n", F.coalesce("component", "doc_id").alias("component")), "families")
-    blocks = family.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("docs"), F.sum("n").alias("shingles")).filter("lo <> hi")
-    blocks = blocks.select("family", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = family.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    dealt = dealt.select("doc_id", "family", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("doc_id", "family", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    sent = packed.join(dealt, "doc_id").repartition("family", "one", "two").sortWithinPartitions("family", "one", "two")
+    # a class grows by a little more than similar sizes may differ, so these are in the same or in neighbouring classes
+    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / least * 1.000001)).cast("int")
+    family = written(family.select("doc_id", "family", "n", size_class.alias("size_class"), F.coalesce("component", "doc_id").alias("component")), "families")
+    open_ = family.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("family")
+    held = family.join(open_, "family")
+    counts = held.groupBy("family", "size_class", "component").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    big = (F.col("docs") >= BLOCK_DOCS) | (F.col("shingles") >= BLOCK_SHINGLES)
+    counts = counts.withColumn("one", F.when(big, F.col("component")).otherwise(F.lit(_NONE)))
+    key = ["family", "size_class", "one"]
+    groups = counts.groupBy(*key).agg(F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles"))
+    groups = written(groups.select(*key, F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "family-groups")
+    dealt = held.join(counts.select(*key, "component"), ["family", "size_class", "component"]).join(groups, key)
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).select("doc_id", "family", F.struct("size_class", "one", "block").alias("unit"))
+    units = groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("unit", F.struct("size_class", "one", "block"))
+    left = units.select("family", F.col("unit").alias("x"), F.explode(F.array("size_class", F.col("size_class") + 1)).alias("size_class"))
+    meet = left.join(units.select("family", "size_class", F.col("unit").alias("y")), ["family", "size_class"])
+    meet = meet.filter((F.col("x.size_class") < F.col("y.size_class")) | (F.col("x") <= F.col("y")))
+    meet = meet.filter((F.col("x.one") != F.col("y.one")) | (F.col("x.one") == _NONE)).select("family", "x", "y").distinct()
+    sides = meet.select("family", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("unit"))
+    dealt = dealt.join(sides, ["family", "unit"]).select("doc_id", F.hash("family").alias("family"), F.xxhash64("family", "x").alias("one"), F.xxhash64("family", "y").alias("two"))
+    sent = _packed_texts(docs, held.select("doc_id")).join(dealt, "doc_id").repartition("family", "one", "two").sortWithinPartitions("family", "one", "two")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor()
 
         def compared() -> pa.RecordBatch:
             ids, sets = np.array([x[0] for x in held]), [x[1] for x in held]
@@ -447,7 +520,7 @@ def _families(member: DataFrame, about: DataFrame, labels: DataFrame, packed: Da
         held, now = [], None
         for batch in slices(batches, "packed", PIECE):
             ids, data, *key = (batch.column(k).to_pylist() for k in range(5))
-            for doc, s, at in zip(ids, shingle_sets([open_.decompress(x) for x in data]), zip(*key, strict=True), strict=True):
+            for doc, s, at in zip(ids, shingle_sets([unpack.decompress(x) for x in data]), zip(*key, strict=True), strict=True):
                 if at != now and held:
                     yield compared()
                     held = []
@@ -475,12 +548,11 @@ def link_documents(df: DataFrame, least: int = LEAST, small: int = SMALL) -> Dat
     about = written(about.join(apart, "doc_id", "left").select("doc_id", "n", "common", (F.col("n") - F.col("singles") + F.coalesce("apart", F.lit(0))).alias("rest"), "end"), "documents")
     met = found.filter("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c"))
     pairs = written(_possible(met, about, least), "pairs")
-    packed = _packed_texts(docs)
-
-    links = written(verified(pairs, packed, least).unionByName(same), "links")
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    links = written(verified(pairs, _packed_texts(docs, paired), least).unionByName(same), "links")
     labels = components(links)
     if not member.isEmpty():
-        more = written(_families(member, about, labels, packed, least), "family-links")
+        more = written(_families(member, about, labels, docs, least), "family-links")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     labels = labels.select(F.col("node").alias("doc_id"), "component")
