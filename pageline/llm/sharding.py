@@ -3,7 +3,7 @@ a shard's residual capacity is highest.
 
 A group is all rows of one text. Light groups are first gathered in a fixed number of cells by the hash of their text, so what the
 driver packs is bounded by parameters: ``CELLS`` cells a shard, at most three times ``HEAVY`` heavy groups a shard, and the pieces of
-those. A group that alone would fill more than ``SPLIT`` of a shard is dealt in pieces by doc_id, since no shard could hold it whole.
+those. Only a group that exceeds a whole shard (in bytes, tokens or rows) is dealt in pieces, of a ``PIECES``-th of a shard at most.
 
 Cases. Null text counts as empty, 16 bytes and no token. Null ids and repeated rows are placed like any others and get slots of their
 own. Empty tables give no rows. Columns besides doc_id and text are not read, so clashing names do no harm.
@@ -23,7 +23,7 @@ from pageline.llm.common import documents, n_words, written
 SHARDS = 40
 CELLS = 200
 HEAVY = 50
-SPLIT = 0.25
+PIECES = 4
 #: Rows that one task numbers, about.
 NUMBERED = 250_000
 
@@ -53,6 +53,8 @@ def shard_rows(df: DataFrame, shards: int = SHARDS) -> DataFrame:
             F.crc32(text.cast("binary")).alias("text_crc32"),
             n_words(F.col("text")).alias("n_tokens"),
             F.md5(text.cast("binary")).alias("key"),
+            # tells rows apart that share an id or have none; the table is written, so it stays what it is
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shard-base",
     )
@@ -61,13 +63,13 @@ def shard_rows(df: DataFrame, shards: int = SHARDS) -> DataFrame:
     sums = [F.sum("size").alias("bytes"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")]
     share = F.greatest(*(F.col(c) / F.lit(t) for c, t in zip(("bytes", "tokens", "rows"), total.tolist(), strict=True)))
     heavy = base.groupBy("key").agg(*sums).withColumn("share", share).filter(F.col("share") > 1.0 / (shards * HEAVY)).select("key", "share").collect()
-    pieces = [(r.key, max(1, math.ceil(r.share * shards / SPLIT)) if r.share > SPLIT / shards else 1) for r in heavy]
+    pieces = [(r.key, math.ceil(r.share * shards * PIECES) if r.share * shards > 1 else 1) for r in heavy]
     if pieces:
         # at most 3 x HEAVY x shards rows, whatever the table holds
         base = base.join(F.broadcast(spark.createDataFrame(pieces, "key string, pieces int")), "key", "left")
     else:
         base = base.withColumn("pieces", F.lit(None).cast("int"))
-    item = F.when(F.col("pieces").isNotNull(), F.concat("key", F.lit("/"), F.pmod(F.xxhash64("doc_id"), F.col("pieces")))).otherwise(
+    item = F.when(F.col("pieces").isNotNull(), F.concat("key", F.lit("/"), F.pmod(F.xxhash64("doc_id", "row"), F.col("pieces")))).otherwise(
         F.concat(F.lit("cell"), F.pmod(F.xxhash64("key"), F.lit(CELLS * shards)))
     )
     base = base.withColumn("item", item)
@@ -75,11 +77,13 @@ def shard_rows(df: DataFrame, shards: int = SHARDS) -> DataFrame:
     loads = np.array([[r.bytes, r.tokens, r.rows] for r in found], float).reshape(-1, 3) / total
     placed = [(r.item, int(k)) for r, k in zip(found, pack(loads, shards), strict=True)]
     dealt = base.join(F.broadcast(spark.createDataFrame(placed, "item string, shard int")), "item")
+    # rows with an id are dealt alike however the table is read; those without by their number
+    draw = F.when(F.col("doc_id").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("doc_id", "text_crc32"))
     subs = max(16, math.ceil(float(whole[2]) / (shards * NUMBERED)))
-    dealt = dealt.withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(subs)))
+    dealt = dealt.withColumn("sub", F.pmod(draw, F.lit(subs)))
     before = dealt.groupBy("shard", "sub").agg(F.count("*").alias("n"))
     before = before.select("shard", "sub", (F.sum("n").over(Window.partitionBy("shard").orderBy("sub")) - F.col("n")).alias("before"))
-    order = Window.partitionBy("shard", "sub").orderBy("doc_id", "key")
+    order = Window.partitionBy("shard", "sub").orderBy("doc_id", "key", "row")
     numbered = dealt.withColumn("nth", F.row_number().over(order)).join(before, ["shard", "sub"])
     return numbered.select("doc_id", "size", "text_crc32", "n_tokens", "shard", (F.col("before") + F.col("nth") - 1).alias("slot"))
 
