@@ -3,23 +3,22 @@
 A source's target over its size says how often each of its documents is taken: whole times surely, and once more with the fraction
 left as inclusion probability. The cube method settles these fractions: its flight phase moves three documents at a time along the
 null space of the constraints (documents and words of the source stay what they are) until all but two are 0 or 1. Blocks of a source
-fly apart, in parallel; the few documents that each leaves undecided meet in the next round, and the last two are landed where the
-words come nearest. So the hot source is many blocks and no task sees more than a block.
+fly apart, in parallel; the few documents that each leaves undecided meet in the next round, and the last are landed, together with a
+few settled ones of all sizes, where the words come nearest. So the hot source is many blocks and no task sees more than a block.
 
 Cases. Null or empty texts have size 0 and are taken 0 words. Null sources form one source, the last. Repeated rows are documents of
-their own. A source without words has target 0. Empty tables give no rows. Extra columns pass through ``mix`` untouched. The driver holds one row for each source (not for each document).
+their own. A source without words has target 0. Empty tables give no rows. Extra columns pass through ``mix`` untouched, whatever
+their names.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pageline.llm.common import documents, n_words, written
 
@@ -28,6 +27,8 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Documents of one block, about.
 BLOCK = 4096
+#: Documents that a landing settles together.
+POOL = 18
 #: Blocks whose undecided documents (two each) meet in the next round.
 GATHER = 1024
 EPS = 1e-9
@@ -78,20 +79,44 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
                 work.remove(i)
 
 
-def land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The last fractions become 0 or 1 such that the words, and then the documents, come nearest to what they were."""
+def spread(size: np.ndarray, most: int) -> np.ndarray:
+    """The places of at most ``most`` documents of all sizes, from the longest to the shortest, ties by place."""
+    order = np.argsort(-size, kind="stable")
+    order = order[size[order] > 0]
+    return order[np.unique(np.linspace(0, len(order) - 1, min(most, len(order))).astype(np.int64))] if len(order) else order
+
+
+def land(pi: np.ndarray, size: np.ndarray, pool: int = POOL) -> np.ndarray:
+    """The last fractions become 0 or 1, and some whole ones turn round, such that the words, and then the documents, come nearest to
+    what they were: the best of all 2 ^ ``pool`` ways to settle the undecided and a spread of others, no longer than what is amiss."""
     open_ = [i for i in range(len(pi)) if EPS < pi[i] < 1 - EPS]
-    words, docs = sum(pi[i] * size[i] for i in open_), sum(pi[i] for i in open_)
-    ways = [[(k >> j) & 1 for j in range(len(open_))] for k in range(1 << len(open_))]
-    best = min(ways, key=lambda w: (abs(sum(b * size[i] for b, i in zip(w, open_, strict=True)) - words), abs(sum(w) - docs), w))
-    out = np.array(pi)
-    for b, i in zip(best, open_, strict=True):
-        out[i] = b
-    return np.round(out)
+    out = np.round(pi)
+    out[open_] = 0
+    words, docs = float(sum(pi[i] * size[i] for i in open_)), float(sum(pi[i] for i in open_))
+    if not open_:
+        return out
+    fit = np.ones(len(pi), bool)
+    fit[open_] = False
+    if (fit & (size <= 2 * words) & (size > 0)).sum() >= pool - len(open_):
+        fit &= size <= 2 * words
+    others = np.flatnonzero(fit)
+    turn = open_ + others[spread(size[others], pool - len(open_))].tolist()
+    gain, count = np.zeros(1), np.zeros(1)
+    for i in turn:
+        sign = 1 - 2 * out[i]
+        gain, count = np.concatenate([gain, gain + sign * size[i]]), np.concatenate([count, count + sign])
+    off = np.abs(gain - words)
+    near = np.flatnonzero(off <= off.min() + 1e-6)
+    way = int(near[np.lexsort((near, np.abs(count[near] - docs)))[0]])
+    for k, i in enumerate(turn):
+        if way >> k & 1:
+            out[i] = 1 - out[i]
+    return out
 
 
 def _fly(rows: DataFrame, level: int) -> DataFrame:
-    """One round: the blocks of each source fly; where a source is one block, what is left is landed."""
+    """One round: the blocks of each source fly; where a source is one block, what is left is landed. A block that isn't the last marks
+    some settled documents of all sizes as spare: they go on with the undecided ones, for the landing."""
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         # the longest first, so that what is left to land is short
@@ -99,56 +124,84 @@ def _fly(rows: DataFrame, level: int) -> DataFrame:
         rng = np.random.default_rng([int(pdf["nth"].iloc[0]), int(pdf["block"].iloc[0]), level])
         size = pdf["size"].to_numpy(float)
         pi = flight(pdf["pi"].to_numpy(float), size, rng)
-        return pdf.assign(pi=land(pi, size) if pdf["blocks"].iloc[0] <= 1 else pi)
+        spare = np.zeros(len(pi), bool)
+        if pdf["blocks"].iloc[0] <= 1:
+            pi = land(pi, size)
+        else:
+            spare[spread(np.where((pi > EPS) & (pi < 1 - EPS), 0, size), POOL)] = True
+        return pdf.assign(pi=pi, spare=spare)
 
     return rows.groupBy("nth", "block").applyInPandas(block, rows.schema)
 
 
+def source_plan(base: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """Of each source its place by code point (``nth``, null last), size, rows and target. Nothing of it is gathered but one number for
+    each partition and sums: sources may be many."""
+    spark = base.sparkSession
+    last = F.col("source").asc_nulls_last()
+    found = base.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("n"))
+    found = written(found.repartitionByRange(last).sortWithinPartitions(last).withColumn("at", F.monotonically_increasing_id()), "mix-sources")
+    part, before = F.shiftright("at", 33).cast("int"), []
+    for r in sorted(found.groupBy(part.alias("part")).count().collect()):
+        before.append((r["part"], sum(x[2] for x in before[-1:]) + (before[-1][1] if before else 0), r["count"]))
+    starts = spark.createDataFrame([x[:2] for x in before], "part int, before long")
+    found = found.withColumn("part", part).join(starts, "part").withColumn("nth", F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1))
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("nth") % len(weights) + 1).cast("int"))
+    found = found.select("source", "source_size", "n", "nth", weight.alias("weight"))
+    # the share of a weight of 1, which rises while sources reach their most
+    share, capped = 0.0, -1
+    while True:
+        above = F.col("weight") * share > most * F.col("source_size")
+        free = ~above & (F.col("source_size") > 0)
+        r = found.agg(F.sum("source_size"), F.sum(F.when(above, most * F.col("source_size"))), F.sum(F.when(free, F.col("weight"))), F.count_if(above & (F.col("source_size") > 0))).first()
+        if r[3] == capped or not r[2]:
+            break
+        capped, share = r[3], (float(r[0]) - float(r[1] or 0)) / float(r[2])
+    return found.withColumn("target", F.least(F.col("weight") * share, most * F.col("source_size").cast("double")))
+
+
 def decide(df: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (how often the mix takes it) and taken (words) of each row of ``df``."""
-    spark = df.sparkSession
-    base = written(df.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id").alias("draw")), "mix-base")
-    known = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    known.sort(key=lambda r: (r.source is None, r.source or ""))
-    aims = targets([r.size for r in known], [weights[i % len(weights)] for i in range(len(known))], most)
-    plan = []
-    for i, (r, aim) in enumerate(zip(known, aims, strict=True)):
-        rate = min(float(most), aim / r.size) if r.size else 0.0
-        sure = math.floor(rate + EPS)
-        plan.append((i, r.source, int(r.size), float(aim), sure, max(0.0, rate - sure), max(1, -(-r.n // BLOCK))))
-    # one row for each source; Spark broadcasts it only where it is small
-    table = spark.createDataFrame(plan, "nth int, source string, source_size long, target double, sure int, pi double, blocks int")
-    rows = base.join(table.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    rows = rows.withColumn("block", F.pmod("draw", F.col("blocks")).cast("int"))
-    most_blocks, level, done = max((p[-1] for p in plan), default=1), 0, []
-    undecided = (F.col("pi") > EPS) & (F.col("pi") < 1 - EPS)
+    """row, doc_id, source, size, source_size, target, copies (how often the mix takes it) and taken (words) of each row of ``df``.
+
+    ``row`` is the column of that name where ``df`` has one (a number of the row), else a number made here.
+    """
+    row = F.col("row") if "row" in df.columns else F.monotonically_increasing_id()
+    base = df.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("same"))
+    # rows without an id are told apart by their number
+    draw = F.when(F.col("doc_id").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("doc_id", "same"))
+    base = written(base.withColumn("draw", draw).drop("same"), "mix-base")
+    rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)
+    plan = source_plan(base, weights, most).withColumn("sure", F.floor(rate + EPS).cast("int"))
+    plan = plan.select(F.col("source").alias("of"), "nth", "source_size", "target", "sure", F.greatest(F.lit(0.0), rate - F.col("sure")).alias("pi"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    plan = written(plan, "mix-plan")
+    rows = base.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    rows = rows.withColumn("block", F.pmod("draw", F.col("blocks")).cast("int")).withColumn("spare", F.lit(False))
+    most_blocks, level, done = plan.agg(F.max("blocks")).first()[0] or 1, 0, []
+    goes_on = ((F.col("pi") > EPS) & (F.col("pi") < 1 - EPS)) | F.col("spare")
     while True:
         flown = written(_fly(rows, level), "mix-flown")
         if most_blocks <= 1:
             done.append(flown)
             break
-        done.append(flown.filter(~undecided))
+        done.append(flown.filter(~goes_on))
         most_blocks, level = -(-most_blocks // GATHER), level + 1
-        rows = flown.filter(undecided).withColumns({"blocks": F.ceil(F.col("blocks") / GATHER).cast("int"), "block": F.floor(F.col("block") / GATHER).cast("int")})
+        rows = flown.filter(goes_on).withColumns({"blocks": F.ceil(F.col("blocks") / GATHER).cast("int"), "block": F.floor(F.col("block") / GATHER).cast("int")})
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     copies = (F.col("sure") + F.round("pi")).cast("int")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    return out.select("row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
 
 
 def mix(df: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The mixed rows: each row of ``df`` (doc_id, text, source, ...) as often as it is taken, with the columns of ``df``."""
-    # Both sides are numbered within the same key in the same order, so the numbers agree. The key alone partitions the join (the number
-    # is only compared), so one shuffle of the texts serves the numbering and the join.
-    key = F.xxhash64("doc_id", "source")
-    made = decide(df, weights, most).select(key.alias("_of"), "doc_id", "source", "size", "copies")
-    order = Window.partitionBy("_of").orderBy("doc_id", "source", "size")
-    made = made.withColumn("_at", F.row_number().over(order)).select("_of", "_at", F.col("copies").alias("_copies"))
-    rows = df.withColumns({"_key": key, "_size": n_words(F.col("text"))})
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_key").orderBy("doc_id", "source", "_size")))
-    taken = rows.join(made, (F.col("_key") == F.col("_of")) & (F.col("_k") - F.col("_at") == 0)).filter("_copies > 0")
-    return taken.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*df.columns)
+    """The mixed rows: each row of ``df`` (doc_id, text, source, ...) as often as it is taken, with the columns of ``df``.
+
+    The rows are written with a number each, by which they meet their copies, so rows without an id or with the same one stay apart.
+    """
+    kept = written(df.select(F.struct(*df.columns).alias("whole"), F.monotonically_increasing_id().alias("row")), "mix-rows")
+    made = decide(kept.select("row", "whole.doc_id", "whole.source", "whole.text"), weights, most).filter("copies > 0").select("row", "copies")
+    taken = kept.join(made, "row").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*(F.col("whole").getField(c).alias(c) for c in df.columns))
 
 
 def op7_cube_mix(spark, sf_dir: str) -> DataFrame:
