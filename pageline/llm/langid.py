@@ -5,10 +5,10 @@ An n-gram is one to three letters or word edges (a gap counts as one blank); tex
 frequent ones, ties by code point. The distance of a document to a language sums how far each of its own top n-grams is out of place,
 ``TOP`` where the profile lacks it; the score is 1 less that distance as a share of the largest possible one.
 
-Profiles are fitted on a bounded sample: at most ``SAMPLE`` documents of each language, the lowest by a hash of their id. Every language
+Profiles are fitted on a bounded sample: at most ``SAMPLE`` documents of each language, the lowest by a hash of their id and text. Every language
 that a row names has one. Every document is then judged by its whole text.
 
-Cases. Null texts and texts without a letter give ``und`` and score 0. Rows without a language teach nothing; where no row teaches, all
+Cases. Rows that repeat an id each teach the language they name; rows equal in id, language and text teach once. Null texts and texts without a letter give ``und`` and score 0. Rows without a language teach nothing; where no row teaches, all
 documents give ``und``. Ties between languages go to the first by code point. Empty tables give no rows, repeated rows equal results;
 columns other than doc_id, text and lang are not read.
 """
@@ -52,8 +52,8 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # of several gaps in a row the first stays
     cp = np.concatenate([[32], cp[keep], [32]])
-    if cp[1] == 32:
-        cp = cp[1:]
+    if cp[-2] == 32:
+        cp = cp[:-1]
     two = (cp[:-1] << 21) | cp[1:]
     three = (two[:-1] << 21) | cp[2:]
     return np.unique(np.concatenate([cp[cp != 32], two, three]), return_counts=True)
@@ -94,14 +94,24 @@ class Profiles:
         return self.langs[best], round(1 - float(self.top * len(own) - near[best]) / (self.top * len(own)), 6)
 
 
+def _lowest(df: DataFrame, most: int, spread: str, order: list) -> DataFrame:
+    """The first ``most`` rows of each language in the given order, with their number ``nth``.
+
+    A language is dealt over slices, and then fewer slices, by a hash of ``spread``; each step keeps ``most`` of a slice, so the last one
+    sees 16 x ``most`` rows of a language, however many there were.
+    """
+    for deal in (256, 16, 1):
+        part = Window.partitionBy("lang", F.pmod(F.xxhash64(spread), F.lit(deal))).orderBy(*order)
+        df = df.withColumn("nth", F.row_number().over(part)).filter(F.col("nth") <= most)
+    return df
+
+
 def fit(df: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Profiles:
     """Profiles from the rows of ``df`` (doc_id, text, lang) that name a language."""
-    named = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang").withColumn("draw", F.xxhash64("doc_id"))
+    taught = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang", F.xxhash64("text").alias("same"))
+    named = taught.select("doc_id", "lang", "same", F.xxhash64("doc_id", "same").alias("draw"))
     few = named.select("lang").distinct().limit(FEW + 1).count() <= FEW
-    # the lowest hashes of each language: first within a slice, so that no task sorts a whole language
-    for keys in (["lang", F.pmod(F.col("draw"), F.lit(64))], ["lang"]):
-        named = named.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("draw", "doc_id"))).filter(F.col("nth") <= sample)
-    chosen = named.select("doc_id", F.col("lang").alias("of"))  # at most sample x langs rows
+    chosen = _lowest(named, sample, "draw", ["draw", "doc_id", "same"]).select("doc_id", "lang", "same").distinct()  # at most sample x langs rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -113,9 +123,11 @@ def fit(df: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Profiles:
             n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(grams)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
 
-    texts = df.select("doc_id", "text").join(F.broadcast(chosen) if few else chosen, "doc_id").select("text", F.col("of").alias("lang"))
+    # a row teaches the language it names itself; rows that are equal in id, language and text teach once
+    met = taught.alias("t").join((F.broadcast(chosen) if few else chosen).alias("c"), [F.col(f"t.{k}").eqNullSafe(F.col(f"c.{k}")) for k in ("doc_id", "lang", "same")], "leftsemi")
+    texts = met.dropDuplicates(["doc_id", "lang", "same"]).select("text", "lang")
     counts = texts.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    first = counts.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("nth") <= top)
+    first = _lowest(counts, top, "gram", [F.desc("n"), "gram"])
     found = first.select("lang", "gram", "nth").toPandas().sort_values(["lang", "nth"])  # at most top x langs rows
     return Profiles({lang: rows["gram"].to_numpy(np.int64) for lang, rows in found.groupby("lang")}, top)
 
