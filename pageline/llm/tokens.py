@@ -37,6 +37,8 @@ TOKENIZER = "word_bpe_49k.json"
 END = 1
 LIMIT = 16
 BLOCK_IDS = 1 << 16
+#: Packed ids of one file, about.
+FILE_BYTES = 128 << 20
 EVERY = 64
 MAGIC = b"PLHB"
 #: Words whose ids a worker remembers; a full memory is emptied.
@@ -278,7 +280,11 @@ def write_ids(df: DataFrame, tokenizer: str = TOKENIZER, remembered: int = REMEM
         if docs:
             yield flush()
 
-    rows = packed.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows that share an id, or have none, stand in the order of a hash of their ids; a file holds about FILE_BYTES of packed ids
+    size = packed.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    tie = F.xxhash64("ids")
+    rows = packed.repartitionByRange(files, "doc_id", tie).sortWithinPartitions("doc_id", tie)
     head = spark.createDataFrame([(-1, 0, 0, 0, [], bytearray(table))], schema)
     return written(rows.mapInArrow(work, schema).unionByName(head), "ids", "uncompressed")
 
