@@ -14,7 +14,8 @@ Documents are read twice (counts, alignment) and never shuffled. Test items come
 bounds what the driver gathers and sends; each block meets all documents. Places of pairs are handled ``HELD`` at a time. Their number
 grows with documents x items where both use the same few words.
 
-Cases. Null and empty texts and items match nothing, nor do items of fewer than ``FEWEST`` words. A document that holds an item several
+Cases. Test items whose item_id is null or no whole number are left out; items that repeat an id are items each, a document has the best
+hit of an id. Null and empty texts and items match nothing, nor do items of fewer than ``FEWEST`` words. A document that holds an item several
 times has its best place once. Items with equal texts each match. Repeated documents give equal hits; empty tables none. Columns of the
 documents pass through ``scan`` untouched, but for one named ``hits``.
 """
@@ -48,6 +49,8 @@ HELD = 1 << 21
 #: Alignments that are computed together, and words of their texts.
 TOGETHER = 256
 TOGETHER_WORDS = 1 << 17
+#: Words of a text that one alignment walks, besides the longest copy of the item.
+STRIP = 1 << 16
 HITS = "array<struct<item_id:long,score:double,start:long,end:long>>"
 
 
@@ -156,7 +159,11 @@ class Items:
         lo, hi = np.maximum(begin[doc], lo - self.span[item]), np.minimum(begin[doc + 1], hi + self.span[item])
         # what overlaps is one passage
         new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])]))
-        yield from zip(doc[new].tolist(), item[new].tolist(), lo[new].tolist(), hi[np.append(new[1:], len(doc)) - 1].tolist(), strict=True)
+        for d, i, x, y in zip(doc[new].tolist(), item[new].tolist(), lo[new].tolist(), hi[np.append(new[1:], len(doc)) - 1].tolist(), strict=True):
+            # a very long passage goes by strips, which overlap by the longest copy
+            reach = int(self.span[i])
+            for a in range(x, max(x + 1, y - reach), STRIP):
+                yield d, i, a, min(y, a + STRIP + reach)
 
     def hits(self, texts: list[str | None]) -> list[list[tuple[int, float, int, int]]]:
         """Of each text: item_id, score, first and one past the last word of the passage."""
@@ -219,8 +226,8 @@ def gram_counts(df: DataFrame, items: Items) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["k", "n"])
 
     out = np.zeros(len(items.known), np.int64)
-    for r in df.select("text").mapInArrow(work, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        out[r.k] = r.n
+    found = df.select("text").mapInArrow(work, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out[found["k"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
@@ -232,7 +239,7 @@ def scan(df: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame
     names = out.columns
     for k in range(blocks):
         # one block of the test items, of bounded size
-        rows = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").collect()
+        rows = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select(F.expr("try_cast(item_id AS long)").alias("item_id"), "text").filter("item_id is not null and text is not null").collect()
         items = Items([r[0] for r in sorted(rows)], [r[1] for r in sorted(rows)], least)
         seeds = df.sparkSession.sparkContext.broadcast(items.without_common(gram_counts(df, items)))
 
