@@ -1,7 +1,7 @@
 """Media columns: Netpbm and BMP images become arrays, are area-resized by integral images and kept as NPY tiles with difference hashes.
 
-Cases. A null image or text counts as empty. An image that is no Netpbm or BMP file, or is cut short, gives null tiles and an
-``error`` text instead of a failed job. Equal bytes give equal results. Rows are handled one at a time, so repeated rows, ties and
+Cases. A null image or text counts as empty. An image that is no Netpbm or BMP file, is cut short, or has samples above its largest one
+gives null tiles and an ``error`` text instead of a failed job. Equal bytes give equal results. Rows are handled one at a time, so repeated rows, ties and
 empty tables need no care; columns besides those named are passed through untouched.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ from pageline.llm.common import documents, slices, written
 #: Rows of one NPY tile, and the width of the images that hold payloads.
 TILE_ROWS = 1024
 WIDTH = 64
+_COMMENT = re.compile(rb"#[^\n]*")
 
 
 def _netpbm_header(data: bytes, fields: int) -> tuple[list[int], int]:
@@ -50,6 +52,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     head, at = _netpbm_header(data, 2 if bitmap else 3)
     width, height = head[:2]
     top = 1 if bitmap else head[2]
+    if not 0 < top < 1 << 16:
+        raise ValueError(f"largest sample {top}")
     n = width * height * planes
     if kind == b"P4":
         line = -(-width // 8)
@@ -59,11 +63,15 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         out = np.frombuffer(data, np.uint8 if top < 256 else ">u2", n, at)
         out = out if top < 256 else out.astype(np.uint16)
     elif kind == b"P1":
-        out = np.array([c - 48 for c in data[at - 1 :] if c in (48, 49)], np.uint8)
+        out = np.frombuffer(_COMMENT.sub(b"", data[at - 1 :]).translate(None, b" \t\n\x0b\f\r"), np.uint8) - 48
     else:
-        out = np.array(data[at:].split(), np.uint8 if top < 256 else np.uint16)
+        out = np.array(_COMMENT.sub(b" ", data[at - 1 :]).split()[:n], np.int64)
     if out.size < n:
         raise ValueError("the raster is cut short")
+    if n and (int(out.reshape(-1)[:n].max()) > top or int(out.reshape(-1)[:n].min()) < 0):
+        raise ValueError(f"a sample is not from 0 to {top}")
+    if kind in (b"P2", b"P3"):
+        out = out.astype(np.uint8 if top < 256 else np.uint16)
     out = out.reshape(-1)[:n]
     return out.reshape(height, width, 3) if planes == 3 else out.reshape(height, width)
 
@@ -161,7 +169,7 @@ def media_tiles(df: DataFrame, image: str = "image", resize: tuple[int, int] | N
                         px = np.stack([np.round(area_resize(planes[:, :, k], *resize)) for k in range(planes.shape[2])], -1).astype(px.dtype)
                         px = px[:, :, 0] if px.shape[2] == 1 else px
                     row = (to_tiles(px), difference_hash(px), px.shape[0], px.shape[1], None)
-                except (ValueError, struct.error, IndexError) as e:
+                except (ValueError, OverflowError, MemoryError, struct.error, IndexError) as e:
                     row = (None, None, None, None, str(e))
                 for k, v in zip(cols, row, strict=True):
                     cols[k].append(v)
