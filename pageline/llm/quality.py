@@ -8,7 +8,7 @@ The sample: at most ``SAMPLE`` labelled documents, the lowest by a hash of their
 
 Cases. Null and empty texts have all statistics 0 and are scored like any text. Rows with null or missing labels teach nothing; with no
 label, or one kind of label, the score is that label's share (0.5 without labels). Repeated labels of a document count once each.
-Empty tables give no rows. Columns besides doc_id and text pass through ``score`` untouched, but for a column named ``score``.
+Ties in the sample are settled by doc_id. Empty tables give no rows. Columns besides doc_id and text pass through ``score`` untouched, but for a column named ``score``.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def statistics(text: Column) -> dict[str, Column]:
         "upper": share(r"[\p{Lu}]++"),
         "digit": share(r"[0-9]++"),
         "symbol": share(r"[^\p{L}\p{N}\s.,;:'-]++"),
-        "stop": share(r"[^.!?]++"),
+        "unstopped": share(r"[^.!?]++"),
         "gap": share(r"[\x20\x09-\x0D]++"),
         "words_distinct": F.when(words > 0, distinct / F.size(fields)).otherwise(0.0),
         "lines_distinct": F.size(F.array_distinct(lines)) / F.size(lines),
