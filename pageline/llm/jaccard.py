@@ -151,17 +151,18 @@ def _counted(df: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
                 at, n = np.unique((np.concatenate(sets) >> shift).astype(np.int64), return_counts=True)
                 total[at] = np.minimum(255, total[at] + n)
             yield _rows(batch.column(0), [len(s) for s in sets], [_digest(s) for s in sets], [None] * len(sets), [None] * len(sets))
+        press = zstandard.ZstdCompressor(level=1)  # a task's counts are small numbers
         for at in range(0, len(total), 1 << 14):
-            yield _rows(pa.array([None], pa.int64()), [None], [None], [at >> 14], [total[at : at + (1 << 14)].tobytes()])
+            yield _rows(pa.array([None], pa.int64()), [None], [None], [at >> 14], [press.compress(total[at : at + (1 << 14)].tobytes())])
 
     def _rows(ids, n, digest, block, counts) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(block, pa.int32()), pa.array(counts, pa.binary())], ["doc_id", "n", "digest", "block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums, unpack = {}, zstandard.ZstdDecompressor()
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(data, np.uint8).astype(np.uint32)
+                got = np.frombuffer(unpack.decompress(data), np.uint8).astype(np.uint32)
                 sums[block] = sums[block] + got if block in sums else got
         blocks = list(sums)
         mean = [float(sums[b].mean()) for b in blocks]
@@ -240,7 +241,7 @@ def _index(df: DataFrame, frequent: np.ndarray, parts: int, least: int, small: i
                 new = first + np.flatnonzero(np.diff(of[first:last].astype(np.int64), prepend=-1))
                 used, n = of[new], np.diff(np.append(new, last)).astype("<u4")
                 names.append(int(part[first]))
-                blobs.append(struct.pack("<II", len(used), last - first) + _bytes_apart(ids[used]) + _bytes_apart(sizes[used]) + _bytes_apart(common[used]) + _bytes_apart(n) + digests[used].tobytes() + entries[first:last].tobytes())
+                blobs.append(struct.pack("<II", len(used), last - first) + _bytes_apart(ids[used]) + _bytes_apart(sizes[used]) + _bytes_apart(common[used]) + _bytes_apart(n) + digests[used].tobytes() + _six(entries[first:last]))
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["part", "data"])
 
         for batch in slices(batches, limit=PIECE):
@@ -251,7 +252,7 @@ def _index(df: DataFrame, frequent: np.ndarray, parts: int, least: int, small: i
                 seen.add(digest)
                 is_hot = hot[(s >> shift).astype(np.int64)]
                 entries, single, end = index_entries(s, is_hot, least)
-                entries = entries & ~np.uint64(3)
+                entries = (entries >> np.uint64(16)) & ~np.uint64(3)
                 entries[single:] |= np.uint64(1)
                 held.append(entries)
                 docs.append((doc, len(s), int.from_bytes(digest[:8], "little"), single, end >> 1 if end >= 0 else (1 << 63) - 1, int(is_hot.sum())))
@@ -265,6 +266,17 @@ def _index(df: DataFrame, frequent: np.ndarray, parts: int, least: int, small: i
     return df.mapInArrow(work, "part int, data binary")
 
 
+def _six(entries: np.ndarray) -> bytes:
+    """The six low bytes of each entry, which is all it has: two entries that agree in these by chance lead to candidates, not to links."""
+    return np.ascontiguousarray(entries.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _from_six(data: bytes, n: int, at: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8, 6 * n, at).reshape(n, 6)
+    return out.view("<u8").reshape(-1)
+
+
 def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
     docs, m = struct.unpack_from("<II", data)
     ids, at = _bytes_together(data, 8, docs, "<i8")
@@ -272,7 +284,7 @@ def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
     common, at = _bytes_together(data, at, docs, "<u4")
     n, at = _bytes_together(data, at, docs, "<u4")
     digests = np.frombuffer(data, "<u8", docs, at)
-    return np.repeat(ids, n), np.repeat(sizes, n), np.repeat(common, n), np.repeat(digests, n), np.frombuffer(data, "<u8", m, at + 8 * docs)
+    return np.repeat(ids, n), np.repeat(sizes, n), np.repeat(common, n), np.repeat(digests, n), _from_six(data, m, at + 8 * docs)
 
 
 def _groups(blobs: list[bytes], least: int, small: int) -> tuple[np.ndarray, np.ndarray]:
