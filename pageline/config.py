@@ -25,6 +25,7 @@ class Config:
     top_n: int = 20
     most_excluded: int = 15
     most_why_words: int = 40
+    asked_why_words: int = 30
     least_shared_words: int = 2
     least_shared_ratio: float = 0.5
     bold_markers: tuple[str, ...] = ("bold", "black", "heavy", "semibold")

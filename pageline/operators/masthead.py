@@ -17,7 +17,7 @@ DATE = r"\b([A-Z][a-z]+ [0-9]{1,2},\s*[0-9]{4})\b"
 def parse_masthead(lines: DataFrame, keys: Sequence[str] = ("edition_file",)) -> DataFrame:
     """edition and date of each first page (keys, line_no, text); null where the page doesn't say.
 
-    Each line's first date counts if it is one; a name is an upper-case word of 2 to 20 letters just above a line that says EDITION.
+    Each line's first date counts if it is one (the first line whose first date is valid tells the day); a name is an upper-case word of 2 to 20 letters just above a line that says EDITION.
     """
     said = F.regexp_replace(F.regexp_extract("text", DATE, 1), r",\s*", ", ")
     date = F.date_format(F.try_to_timestamp(said, F.lit("MMMM d, yyyy")), "yyyy-MM-dd")
@@ -38,24 +38,37 @@ def prompt_rows(lines: DataFrame) -> DataFrame:
     return lines.withColumn("prompt_row", row)
 
 
-def prompt(lines: DataFrame, keys: Sequence[str] = ("page_num",), header: str = "") -> DataFrame:
-    """Each page's rows in order, under a header."""
+def prompt(lines: DataFrame, modal: DataFrame, keys: Sequence[str] = ("page_num",)) -> DataFrame:
+    """What an annotator is given of each page: a header with its number, modal size (``modal``: keys, modal_size) and lines, and its rows in order."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "prompt_row"))), lambda x: x["prompt_row"])
-    return prompt_rows(lines).groupBy(*keys).agg(F.concat(F.lit(header), F.array_join(rows, "\n")).alias("prompt"))
-
-
-def ranking_prompt(corpus: DataFrame) -> DataFrame:
-    """The candidates of an edition as one text, in the order of their ids."""
-    row = F.concat_ws("|", "article_id", "headline", F.coalesce("deck", F.lit("")), F.coalesce(F.col("continues_on_page").cast("string"), F.lit("-")), "body_preview")
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("article_id", row.alias("row")))), lambda x: x["row"])
-    return corpus.agg(F.array_join(rows, "\n").alias("prompt"))
-
-
-def corrections(issues: DataFrame, pairs: DataFrame) -> DataFrame:
-    """What a second attempt is told: one bullet for each issue, and for each pair that tells one story twice."""
-    a = issues.select(F.concat(F.lit("- "), F.concat_ws(" ", "rule", "list", "article_id")).alias("t"))
-    b = pairs.select(F.concat(F.lit("- "), F.col("article_id"), F.lit(" continues as "), F.col("continuation_id")).alias("t"))
-    return a.unionByName(b).agg(F.array_join(F.array_sort(F.collect_list("t")), "\n").alias("corrections"))
+    told = prompt_rows(lines).groupBy(*keys).agg(F.array_join(rows, "\n").alias("_rows"), F.count("*").alias("_n")).join(modal, list(keys), "left")
+    head = F.format_string("PAGE %s | modal_body_font_size=%.1fpt | %d lines\n", F.col(keys[-1]).cast("string"), F.coalesce("modal_size", F.lit(0.0)), F.col("_n"))
+    return told.select(*keys, F.concat(head, F.col("_rows")).alias("prompt"))
+
+
+def ranking_prompt(corpus: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The candidates of each edition (``keys``) as one text, in the order of page and id (``ord`` where the corpus has one)."""
+    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    head = F.concat(F.lit("--- article_id="), F.col("article_id"), F.lit(" page="), none("page"), F.lit(" continues_on_page="), none("continues_on_page"), F.lit(" ---"))
+    said = [F.concat(F.lit(f"{c}: "), F.coalesce(c, F.lit(""))) for c in ("headline", "deck", "body_preview")]
+    order = [c for c in ("page", "ord", "article_id") if c in corpus.columns]
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.concat_ws("\n", head, *said).alias("_row")))), lambda x: x["_row"])
+    first = F.concat(F.count("*").cast("string"), F.lit(" candidate articles from this edition:\n"))
+    return corpus.groupBy(*keys).agg(F.concat(first, F.array_join(rows, "\n\n")).alias("prompt"))
+
+
+def corrections(issues: DataFrame, pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """What a second attempt is told of each edition that needs one: a bullet for each issue in its order, then one for each pair of
+    articles that tell one story twice."""
+    keep = F.concat(
+        F.lit("- article '"), F.col("article_id"), F.lit("' (continues on page "), F.col("page").cast("string"), F.lit(") and '"), F.col("continuation_id"),
+        F.lit("' (on that same page) are the same story ranked twice - keep only '"), F.col("article_id"), F.lit("'"),
+    )
+    a = issues.select(*keys, F.lit(0).alias("_part"), F.col("ord").cast("long").alias("_ord"), F.concat(F.lit("- "), F.col("told")).alias("_t"))
+    b = pairs.select(*keys, F.lit(1).alias("_part"), F.lit(0).cast("long").alias("_ord"), keep.alias("_t"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("_part", "_ord", "_t"))), lambda x: x["_t"])
+    both = a.unionByName(b).groupBy(*keys).agg(F.count("*").alias("_n"), F.array_join(rows, "\n").alias("_rows")).filter("_n > 0")
+    return both.select(*keys, F.concat(F.lit("Your previous response had these problems - fix them:\n"), F.col("_rows")).alias("corrections"))
 
 
 def viewport_box(bbox: Column, page_height: Column, scale: Column) -> Column:

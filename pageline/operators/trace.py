@@ -27,9 +27,11 @@ def run_totals(events: DataFrame, calls: tuple[str, ...] = CALLS) -> DataFrame:
     return events.groupBy("run_id").agg(F.sum(F.when(call, F.coalesce(detail("total_token_count"), F.lit(0))).otherwise(0)).alias("total_tokens"), F.avg(hit).alias("cache_hit_ratio"))
 
 
-def quota(events: DataFrame, now: Column, call: str = CALL, seconds: int = 60) -> DataFrame:
-    """Calls since midnight (UTC) and tokens within the last ``seconds``, cached ones included."""
+def quota(events: DataFrame, now: Column | DataFrame, call: str = CALL, seconds: int = 60) -> DataFrame:
+    """Calls since midnight (UTC) and tokens within the last ``seconds``, cached ones included. ``now`` may be a table of one value."""
     calls = events.filter(F.col("stage") == call)
+    if isinstance(now, DataFrame):
+        calls, now = calls.join(F.broadcast(now.toDF("_now"))), F.col("_now")  # one row
     recent = F.col("started_at") >= now - F.make_interval(secs=F.lit(seconds))
     return calls.agg(
         F.count_if(F.col("started_at") >= F.date_trunc("day", now)).alias("requests_today"),
@@ -37,11 +39,20 @@ def quota(events: DataFrame, now: Column, call: str = CALL, seconds: int = 60) -
     )
 
 
-def sliding(df: DataFrame, keys: list[str], ts: str, seconds: int, **sums: Column) -> DataFrame:
-    """Each row with the count and sums of the rows of its key in the ``seconds`` up to it, the limits included."""
-    w = Window.partitionBy(*keys).orderBy(F.col("_at")).rangeBetween(-seconds * 1_000_000, 0)
-    rows = df.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
-    return rows.withColumns({"window_rows": F.count("*").over(w)} | {k: F.sum(c).over(w) for k, c in sums.items()}).drop("_at")
+def sliding(df: DataFrame, keys: list[str], ts: str, seconds: int, slices: int = 60, **sums: Column) -> DataFrame:
+    """Each row with the count and sums of the rows of its key in the ``seconds`` up to it, the limits included.
+
+    Time is cut into slices of ``slices`` x ``seconds``. A row stands in its own slice, and one of the last ``seconds`` of a slice once
+    more in the next, as a shadow that is only counted there. So the rows of a key are dealt over as many tasks as there are slices.
+    """
+    step, reach = seconds * slices * 1_000_000, seconds * 1_000_000
+    rows = df.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))).withColumns({f"_v_{k}": c for k, c in sums.items()})
+    own = F.floor(F.col("_at") / step)
+    last = F.floor((F.col("_at") + reach) / step)
+    rows = rows.withColumn("_slice", F.explode(F.when(last > own, F.array(own, last)).otherwise(F.array(own)))).withColumn("_own", F.col("_slice") == own)
+    w = Window.partitionBy(*keys, "_slice").orderBy("_at").rangeBetween(-reach, 0)
+    out = rows.withColumns({"window_rows": F.count("*").over(w)} | {k: F.sum(f"_v_{k}").over(w) for k in sums}).filter("_own")
+    return out.drop("_at", "_slice", "_own", *(f"_v_{k}" for k in sums))
 
 
 def last_before(df: DataFrame, keys: list[str], value: str, order: str, default: int = 1) -> DataFrame:

@@ -6,29 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pageline.functions.text import first_words, squeezed, topic_words
-from pageline.operators import canary, ranges, ranking, retention, status, trace
+from pageline.functions.text import STOPWORDS, first_words, squeezed, topic_words
+from pageline.functions.text import same_story as stories_alike
+from pageline.operators import canary, ranges, ranking, status, trace
+from pageline.operators.retention import expired
 from pageline.operators.cachekeys import page_key, ranking_key, short_hash
-from pageline.operators.lines import first_most_frequent, islands
-from pageline.operators.textfold import fold_lines
-from pageline.operators.validate import headline_quality
+from pageline.operators.lines import first_most_frequent
+from pageline.operators.lines import islands as cut_islands
+from pageline.operators.validate import headline_quality as quality_of
+from pageline.plans.register import Registry
 from pageline.plans.bindings import EVENTS_SQL, HEADS_SQL, LINES_SQL, events, first_lines, lines
 from pageline.sources.tables import table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
+registry = Registry()
+query = registry.query
 
 
 @query(f"WITH {LINES_SQL} SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, text FROM l")
@@ -85,8 +76,7 @@ def stage_rollup(spark: SparkSession, d: str) -> DataFrame:
 )
 def quota_usage(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).withColumn("detail_json", F.to_json(F.struct(F.col("page_num").alias("total_token_count"))))
-    now = F.lit(e.agg(F.max("started_at")).first()[0]).cast("timestamp_ntz")
-    return trace.quota(e, now, "click")
+    return trace.quota(e, e.agg(F.max("started_at")).scalar(), "click")
 
 
 @query(
@@ -116,12 +106,12 @@ def failed_pages(spark: SparkSession, d: str) -> DataFrame:
     b AS (SELECT *, CASE WHEN pe IS NULL OR pe <> is_error OR started_at - pt > INTERVAL 1 HOUR THEN 1 ELSE 0 END AS brk FROM p)
     SELECT id, run_id, CAST(sum(brk) OVER (PARTITION BY run_id ORDER BY started_at, id ROWS UNBOUNDED PRECEDING) AS INTEGER) AS island FROM b"""
 )
-def line_islands(spark: SparkSession, d: str) -> DataFrame:
+def islands(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("run_id").orderBy("started_at", "id")
     e = events(spark, d).withColumn("p", F.lag(F.struct("is_error", "started_at")).over(w))
     gap = F.unix_micros(F.col("started_at").cast("timestamp")) - F.unix_micros(F.col("p.started_at").cast("timestamp"))
     breaks = F.col("p").isNull() | (F.col("p.is_error") != F.col("is_error")) | (gap > 3_600_000_000)
-    return islands(e, ["run_id"], ["started_at", "id"], breaks, "island").select("id", "run_id", "island")
+    return cut_islands(e, ["run_id"], ["started_at", "id"], breaks, "island").select("id", "run_id", "island")
 
 
 @query(
@@ -129,12 +119,12 @@ def line_islands(spark: SparkSession, d: str) -> DataFrame:
     b AS (SELECT *, sum(CASE WHEN pp IS NULL OR abs(l_extendedprice - pp) > 20000 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS f FROM p)
     SELECT l_orderkey, CAST(f AS INTEGER) AS fragment, min(l_extendedprice) AS x0, max(l_extendedprice) AS x1, min(l_quantity) AS top, max(l_quantity) AS bottom FROM b GROUP BY ALL"""
 )
-def body_fragments(spark: SparkSession, d: str) -> DataFrame:
+def fragments(spark: SparkSession, d: str) -> DataFrame:
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     x = table(spark, d, "lineitem").select("l_orderkey", *order, "l_quantity")
     prev = F.lag("l_extendedprice").over(Window.partitionBy("l_orderkey").orderBy(*order))
     x = x.withColumn("p", prev)
-    cut = islands(x, ["l_orderkey"], order, F.col("p").isNull() | (F.abs(F.col("l_extendedprice") - F.col("p")) > 20000), "fragment")
+    cut = cut_islands(x, ["l_orderkey"], order, F.col("p").isNull() | (F.abs(F.col("l_extendedprice") - F.col("p")) > 20000), "fragment")
     return cut.groupBy("l_orderkey", "fragment").agg(F.min("l_extendedprice").alias("x0"), F.max("l_extendedprice").alias("x1"), F.min("l_quantity").alias("top"), F.max("l_quantity").alias("bottom"))
 
 
@@ -241,7 +231,7 @@ def enrich_default(spark: SparkSession, d: str) -> DataFrame:
     return ranked.join(corpus, "article_id", "left").select("article_id", F.coalesce("page", F.lit(-1).cast("long")).alias("page"), F.coalesce("headline", F.lit("")).alias("headline"))
 
 
-_STOP_SQL = "['a','an','the','of','to','in','on','for','and','or','is','as','at','with','after','over','amid','by','from','its','it','than']"
+_STOP_SQL = "[" + ",".join(f"'{w}'" for w in STOPWORDS) + "]"
 
 
 @query(
@@ -249,14 +239,32 @@ _STOP_SQL = "['a','an','the','of','to','in','on','for','and','or','is','as','at'
     SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN w b ON a.source = b.source AND a.doc_id < b.doc_id AND len(a.w) > 0 AND len(b.w) > 0
     AND len(list_intersect(a.w, b.w)) >= 2 AND len(list_intersect(a.w, b.w)) >= 0.5 * least(len(a.w), len(b.w))"""
 )
-def same_stories(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of one source whose headlines tell the same story. They share two words, so words are joined, not documents."""
-    w = first_lines(spark, d).select("doc_id", "source", F.array_distinct(topic_words(F.col("headline"))).alias("w"))
-    word = w.select("doc_id", "source", F.explode("w").alias("word"), F.size("w").alias("n"))
-    a = word.select("source", "word", F.col("doc_id").alias("doc_a"), F.col("n").alias("n_a"))
-    b = word.select("source", "word", F.col("doc_id").alias("doc_b"), F.col("n").alias("n_b"))
-    shared = a.join(b, ["source", "word"]).filter("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.count("*").alias("k"), F.least(F.first("n_a"), F.first("n_b")).alias("short"))
-    return shared.filter("k >= 2 and k >= 0.5 * short").select("doc_a", "doc_b")
+def same_story(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of one source whose headlines tell the same story.
+
+    They share two words or more, so headlines of up to ``PAIRED`` words meet under pairs of words, of which few are common. A longer one
+    has too many pairs: it meets the others under single words.
+    """
+    w = first_lines(spark, d).select("doc_id", "source", F.array_sort(F.array_distinct(topic_words(F.col("headline")))).alias("w")).filter("size(w) >= 2")
+    short, long_ = w.filter(F.size("w") <= PAIRED), w.filter(F.size("w") > PAIRED)
+    both = F.flatten(F.transform("w", lambda a, i: F.transform(F.slice("w", i + 2, F.size("w")), lambda b: F.concat_ws(" ", a, b))))
+    found = _meet(short.select("doc_id", "source", F.explode(both).alias("key")), short.select("doc_id", "source", F.explode(both).alias("key")))
+    single = w.select("doc_id", "source", F.explode("w").alias("key"))
+    far = _meet(long_.select("doc_id", "source", F.explode("w").alias("key")), single)
+    pairs = found.unionByName(far).select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).distinct()
+    words = w.select("doc_id", "w")
+    near = pairs.join(words.toDF("doc_a", "wa"), "doc_a").join(words.toDF("doc_b", "wb"), "doc_b")
+    return near.filter(stories_alike(F.col("wa"), F.col("wb"))).select("doc_a", "doc_b")
+
+
+#: Words of a headline whose pairs are keys.
+PAIRED = 24
+
+
+def _meet(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Documents a of ``one`` and b of ``two`` of one source under one key."""
+    a, b = one.withColumnRenamed("doc_id", "a"), two.withColumnRenamed("doc_id", "b")
+    return a.join(b, ["source", "key"]).filter("a <> b").select("a", "b").distinct()
 
 
 @query(
@@ -288,15 +296,15 @@ def edition_star(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {EVENTS_SQL}, g AS (SELECT DISTINCT run_id, page_num FROM e WHERE stage IN ('purchase', 'signup') AND page_num > 0), x AS (SELECT DISTINCT run_id, page_num FROM e WHERE is_error AND page_num > 0),
-    v AS (SELECT run_id, page_num, max(stage) AS s FROM e WHERE stage = 'click' AND page_num > 90 GROUP BY ALL), c AS (SELECT run_id, max(page_num) AS n FROM e GROUP BY 1),
-    p AS (SELECT run_id, unnest(range(1, n + 1)) AS page_num FROM c WHERE n > 0)
-    SELECT p.run_id, CAST(p.page_num AS INTEGER) AS page_num, CASE WHEN v.s IS NOT NULL THEN 'in_progress' WHEN g.run_id IS NOT NULL THEN 'done' WHEN x.run_id IS NOT NULL THEN 'failed' ELSE 'pending' END AS status
-    FROM p LEFT JOIN g USING (run_id, page_num) LEFT JOIN x USING (run_id, page_num) LEFT JOIN v USING (run_id, page_num)"""
+    c AS (SELECT run_id, max(page_num) AS n FROM e GROUP BY 1), p AS (SELECT run_id, unnest(range(1, n + 1)) AS page_num FROM c WHERE n > 0)
+    SELECT p.run_id, CAST(p.page_num AS INTEGER) AS page_num, CASE WHEN g.run_id IS NOT NULL THEN 'done' WHEN x.run_id IS NOT NULL THEN 'failed' ELSE 'pending' END AS status
+    FROM p LEFT JOIN g USING (run_id, page_num) LEFT JOIN x USING (run_id, page_num)"""
 )
 def page_status(spark: SparkSession, d: str) -> DataFrame:
+    """PF12, JN15 for editions without a live job."""
     e = events(spark, d).select(F.col("run_id").alias("edition"), F.lit("").alias("date"), "page_num", "stage", "is_error")
     counts = e.groupBy("edition", "date").agg(F.max("page_num").alias("page_count"))
-    live = e.filter("stage = 'click' and page_num > 90").select("edition", "date", "page_num", F.lit("grouping").alias("status")).distinct()
+    live = e.limit(0).select("edition", "date", "page_num", F.lit("").alias("status"))
     out = status.page_status(counts, e.filter("stage in ('purchase', 'signup')"), e.filter("is_error"), live)
     return out.select(F.col("edition").alias("run_id"), "page_num", "status")
 
@@ -305,8 +313,8 @@ def page_status(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {HEADS_SQL}, t AS (SELECT doc_id, regexp_replace(headline, '^\\s+|\\s+$', '', 'g') AS x FROM h), n AS (SELECT doc_id, x, len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')) AS n FROM t)
     SELECT doc_id, CASE WHEN length(x) <= 1 THEN 'single_character' WHEN x = upper(x) AND x <> lower(x) AND n <= 3 THEN 'kicker' WHEN n < 3 THEN 'short' END AS quality FROM n"""
 )
-def headline_check(spark: SparkSession, d: str) -> DataFrame:
-    return first_lines(spark, d).select("doc_id", headline_quality(F.col("headline")).alias("quality"))
+def headline_quality(spark: SparkSession, d: str) -> DataFrame:
+    return first_lines(spark, d).select("doc_id", quality_of(F.col("headline")).alias("quality"))
 
 
 #: Letters of a block, by which quotes are looked up.
@@ -357,27 +365,6 @@ def checksum_prefix(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("doc_id", "item_id", *(c.alias(n) for n, c in ways.items())).filter("as_is or without_space or without_marks")
 
 
-#: Lines of two small paragraphs: number, place, text, whether a single glyph.
-FOLD_ROWS = ((1, 1, "N", True), (1, 2, "epal President state-", False), (1, 3, "ment on Monday co-", False), (1, 4, "Run enterprises ", False), (1, 5, "are next", False), (2, 1, "Two-", False), (2, 2, "part word", False), (3, 1, "one line only-", False))
-_FOLD_VALUES = ", ".join(f"({g}, {k}, '{t}', {str(s).lower()})" for g, k, t, s in FOLD_ROWS)
-
-
-@query(
-    f"""WITH RECURSIVE v(g, k, t, s) AS (VALUES {_FOLD_VALUES}), f AS (
-    SELECT g, k, t AS raw, t AS clean, s AS glued, 0 AS dropped FROM v WHERE k = 1 UNION ALL
-    SELECT v.g, v.k, CASE WHEN f.glued THEN f.raw || v.t ELSE f.raw || ' ' || v.t END,
-      CASE WHEN f.glued THEN f.clean || v.t WHEN rtrim(f.clean) LIKE '%-' AND regexp_matches(v.t, '^[a-z]') THEN left(rtrim(f.clean), length(rtrim(f.clean)) - 1) || v.t ELSE rtrim(f.clean) || ' ' || v.t END,
-      v.s, f.dropped + CASE WHEN NOT f.glued AND rtrim(f.clean) LIKE '%-' AND regexp_matches(v.t, '^[a-z]') THEN 1 ELSE 0 END
-    FROM f JOIN v ON v.g = f.g AND v.k = f.k + 1)
-    SELECT g, raw, clean, dropped FROM f WHERE k = (SELECT max(k) FROM v WHERE v.g = f.g)"""
-)
-def dehyphen_fold(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.sql(f"SELECT * FROM VALUES {_FOLD_VALUES} AS v(g, k, t, s)")
-    line = F.struct(F.col("k").alias("line_no"), F.col("t").alias("text"), F.col("t").alias("corrected_text"), F.col("s").alias("single_glyph"))
-    folded = rows.groupBy("g").agg(F.array_sort(F.collect_list(line)).alias("x")).select("g", fold_lines(F.col("x")).alias("f"))
-    return folded.select("g", "f.raw", "f.clean", F.size("f.log").alias("dropped"))
-
-
 @query(
     """SELECT conv_id, string_agg(text, ' ' ORDER BY turn) FILTER (WHERE text <> '') AS body, md5(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE text <> ''), '')) AS digest,
     CAST(count_if(text <> '') AS BIGINT) AS parts FROM conversations GROUP BY conv_id"""
@@ -451,24 +438,25 @@ def topn(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT o_custkey, max(o_orderdate) AS m, count(*) AS files FROM orders GROUP BY 1), x AS (SELECT max(o_orderdate) - INTERVAL 90 DAYS AS c FROM orders)
-    SELECT o_custkey, strftime(m, '%Y-%m-%d') AS last_day, files AS bytes FROM t, x WHERE m < c"""
+    """WITH t AS (SELECT o_custkey, max(o_orderdate) AS m, sum(o_orderkey) AS bytes FROM orders GROUP BY 1), x AS (SELECT max(o_orderdate) - INTERVAL 90 DAYS AS c FROM orders)
+    SELECT o_custkey, strftime(m, '%Y-%m-%d') AS last_day, CAST(bytes AS BIGINT) AS bytes FROM t, x WHERE m < c"""
 )
-def retention_prune(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderdate").alias("modified_at"), F.lit(1).alias("size"))
-    last = F.lit(o.agg(F.max("modified_at")).first()[0]).cast("timestamp_ntz")
-    return retention.expired(o, ["o_custkey"], last - F.expr("INTERVAL 90 DAYS")).select("o_custkey", F.date_format("last_touched", "yyyy-MM-dd").alias("last_day"), "bytes")
+def retention(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderdate").alias("modified_at"), F.col("o_orderkey").alias("size"))
+    last = o.agg(F.max("modified_at")).scalar()
+    return expired(o, ["o_custkey"], last - F.expr("INTERVAL 90 DAYS")).select("o_custkey", F.date_format("last_touched", "yyyy-MM-dd").alias("last_day"), "bytes")
 
 
 @query(
-    """WITH w AS (SELECT l_orderkey, l_linenumber, l_suppkey AS page, l_quantity AS y, l_discount * 100 AS x FROM lineitem WHERE l_linenumber = 1), c AS (SELECT l_orderkey, l_linenumber, l_suppkey AS page, l_quantity AS y, l_discount * 100 AS x FROM lineitem WHERE l_linenumber = 2)
-    SELECT w.l_orderkey AS box, c.l_orderkey AS point FROM w JOIN c ON w.page = c.page AND c.x >= w.x - 0.1 AND c.x + 0.5 <= w.x + 2.1 AND c.y >= w.y - 0.5 AND c.y + 0.5 <= w.y + 2.5"""
+    """WITH w AS (SELECT l_orderkey, l_linenumber, l_suppkey * 10000 + l_partkey AS page, l_quantity AS y, l_discount * 100 AS x FROM lineitem)
+    SELECT a.l_orderkey AS box, a.l_linenumber AS box_line, b.l_orderkey AS point, b.l_linenumber AS point_line FROM w a JOIN w b ON a.page = b.page AND b.x >= a.x - 0.1 AND b.x + 0.5 <= a.x + 4.1 AND b.y >= a.y - 0.5 AND b.y + 0.5 <= a.y + 6.5"""
 )
 def spatial_bucket(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("page"), F.col("l_quantity").alias("y"), (F.col("l_discount") * 100).alias("x"))
-    boxes = x.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("box"), "page", F.col("x").alias("b_x0"), (F.col("x") + 2).alias("b_x1"), F.col("y").alias("b_top"), (F.col("y") + 2).alias("b_bottom"))
-    points = x.filter("l_linenumber = 2").select(F.col("l_orderkey").alias("point"), "page", F.col("x").alias("x0"), (F.col("x") + 0.5).alias("x1"), F.col("y").alias("top"), (F.col("y") + 0.5).alias("bottom"))
-    return canary.contained(boxes, points, ["page"]).select("box", "point")
+    """JN3, JN4: every line item as a box and as a point of the page of its part and supplier."""
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") * 10000 + F.col("l_partkey")).alias("page"), F.col("l_quantity").alias("y"), (F.col("l_discount") * 100).alias("x"))
+    boxes = x.select(F.col("l_orderkey").alias("box"), F.col("l_linenumber").alias("box_line"), "page", F.col("x").alias("b_x0"), (F.col("x") + 4).alias("b_x1"), F.col("y").alias("b_top"), (F.col("y") + 6).alias("b_bottom"))
+    points = x.select(F.col("l_orderkey").alias("point"), F.col("l_linenumber").alias("point_line"), "page", F.col("x").alias("x0"), (F.col("x") + 0.5).alias("x1"), F.col("y").alias("top"), (F.col("y") + 0.5).alias("bottom"))
+    return canary.contained(boxes, points, ["page"]).select("box", "box_line", "point", "point_line")
 
 
 @query(
@@ -495,14 +483,6 @@ def fusion_scan(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('1,2,5-8', 1), ('3', 2), ('2-3,2', 3)) v(said, k), LATERAL (SELECT CASE k WHEN 1 THEN '1 2 5 6 7 8' WHEN 2 THEN '3' ELSE '2 3 2' END AS pages) x")
-def page_list(spark: SparkSession, d: str) -> DataFrame:
-    from pageline.functions.text import page_list as parse
-
-    rows = spark.sql("SELECT * FROM VALUES ('1,2,5-8', 1), ('3', 2), ('2-3,2', 3) AS v(said, k)")
-    return rows.select("said", "k", F.array_join(parse(F.col("said")), " ").alias("pages"))
-
-
 @query(
     """SELECT c_custkey, c_mktsegment || '__' || c_nationkey || '__x' AS edition_id, c_mktsegment AS edition, c_nationkey || '__x' AS date FROM customer"""
 )

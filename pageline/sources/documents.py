@@ -44,6 +44,26 @@ def read_trace(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema({"runs": schemas.RUNS, "events": schemas.EVENTS, "raw": schemas.RAW}[name]).parquet(f"{path}/{name}")
 
 
+def read_manifest(spark: SparkSession, path: str, editions: DataFrame) -> DataFrame:
+    """``editions`` (edition, date) with their manifests; page_count and pages are null where there is none."""
+    found = spark.read.schema("edition string, date string, page_count int, pages array<int>").option("recursiveFileLookup", "true").json(path)
+    return editions.join(found, ["edition", "date"], "left")
+
+
+def read_gold(spark: SparkSession, path: str, schema: str | T.StructType, **keys: str | int) -> DataFrame:
+    """Articles of a partitioned table, of some partitions if ``keys`` name them; files that are gone by now are passed over."""
+    df = spark.read.schema(schema).option("ignoreMissingFiles", "true").parquet(path)
+    for name, value in keys.items():
+        df = df.filter(F.col(name) == value)
+    return df
+
+
+def page_events(events: DataFrame, run_id: str, page_num: int | None = None) -> DataFrame:
+    """The events, or raw exchanges, of a run, or of one of its pages; both tests reach the scan."""
+    df = events.filter(F.col("run_id") == run_id)
+    return df if page_num is None else df.filter(F.col("page_num") == page_num)
+
+
 def discover(df: DataFrame) -> DataFrame:
     """Editions and dates that a partitioned table holds."""
     return df.select("edition", "date").distinct().orderBy("edition", "date")

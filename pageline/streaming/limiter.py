@@ -13,11 +13,12 @@ from pageline.config import Config
 class Reservation:
     """Tokens taken; ``correct`` puts the true number in place of the estimate."""
 
-    def __init__(self, at: float, tokens: int):
-        self.at, self.tokens = at, tokens
+    def __init__(self, at: float, tokens: int, lock: threading.Lock):
+        self.at, self.tokens, self._lock = at, tokens, lock
 
     def correct(self, tokens: int) -> None:
-        self.tokens = tokens
+        with self._lock:
+            self.tokens = tokens
 
 
 class Limiter:
@@ -27,23 +28,31 @@ class Limiter:
         self.rpm, self.tpm, self.window, self.clock, self.sleep = config.requests_per_minute, config.tokens_per_minute, window, clock, sleep
         self._slots, self._lock, self._held = threading.BoundedSemaphore(concurrent), threading.Lock(), []
 
+    def _usage(self, now: float) -> tuple[int, int]:
+        self._held = [r for r in self._held if r.at >= now - self.window]
+        return len(self._held), sum(r.tokens for r in self._held)
+
     def usage(self) -> tuple[int, int]:
         """Calls and tokens within the window; one exactly as old as the window still counts."""
         with self._lock:
-            self._held = [r for r in self._held if r.at >= self.clock() - self.window]
-            return len(self._held), sum(r.tokens for r in self._held)
+            return self._usage(self.clock())
+
+    def _taken(self, estimate: int) -> Reservation | None:
+        """A reservation, if there is room: looked up and taken under one hold of the lock, so no two callers take the same room."""
+        with self._lock:
+            now = self.clock()
+            calls, tokens = self._usage(now)
+            if calls >= self.rpm or tokens + estimate > self.tpm:
+                return None
+            held = Reservation(now, estimate, self._lock)
+            self._held.append(held)
+            return held
 
     @contextmanager
     def call(self, estimate: int):
         if estimate > self.tpm:
             raise ValueError(f"{estimate} tokens never fit under {self.tpm}")
         with self._slots:
-            while True:
-                calls, tokens = self.usage()
-                if calls < self.rpm and tokens + estimate <= self.tpm:
-                    break
+            while (held := self._taken(estimate)) is None:
                 self.sleep(0.5)
-            held = Reservation(self.clock(), estimate)
-            with self._lock:
-                self._held.append(held)
             yield held

@@ -1,0 +1,107 @@
+"""Calls to an outside service that are tried again: a driver-side ladder, and the same ladder as a table."""
+
+from __future__ import annotations
+
+import random
+import re
+import time
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_SECONDS = re.compile(r"([\d.]+)s?$")
+
+
+@dataclass(frozen=True)
+class Ladder:
+    """Attempts, sleeps between them (nominal: base x factor ^ (n - 1), at most ``most``; jitter either way), and sleeps on 429."""
+
+    attempts: int = 4
+    base: float = 4.0
+    factor: float = 2.0
+    most: float = 30.0
+    jitter: float = 0.5
+    quota_sleep: float = 60.0
+    quota_most: float = 90.0
+
+    def nominal(self, attempt: int) -> float:
+        return min(self.base * self.factor ** (attempt - 1), self.most)
+
+
+class ServiceError(Exception):
+    """An error of the service: its code (null: the transport failed), its text, and the delay that the service asks for."""
+
+    def __init__(self, message: str, code: int | None = None, retry_after: str | float | None = None):
+        super().__init__(message)
+        self.code, self.message, self.retry_after = code, message, retry_after
+
+
+class DailyQuota(Exception):
+    """No more calls today; trying again is of no use."""
+
+
+@dataclass
+class Record:
+    """What a call took: one entry for each attempt, and the seconds slept."""
+
+    attempts: list[dict[str, Any]] = field(default_factory=list)
+    sleep_total_s: float = 0.0
+
+    @property
+    def attempt_count(self) -> int:
+        return len(self.attempts)
+
+
+def asked_delay(said: str | float | None) -> float | None:
+    """Seconds, as a number or as ``41s``; None where nothing readable was said."""
+    if said is None or isinstance(said, (int, float)):
+        return said
+    found = _SECONDS.match(said.strip())
+    try:
+        return float(found.group(1)) if found else None
+    except ValueError:
+        return None
+
+
+def is_daily(message: str) -> bool:
+    low = message.lower()
+    return "day" in low and any(w in low for w in ("quota", "exceeded", "resource_exhausted"))
+
+
+def call(make: Callable[[], Any], ladder: Ladder = Ladder(), record: Record | None = None, sleep: Callable[[float], None] = time.sleep, rng: random.Random | None = None, clock: Callable[[], float] = time.monotonic) -> Any:
+    """``make()``, tried again on errors of the service (5xx) and the transport. A 429 is tried again once, after the delay that the
+    service asks for (bounded), and not at all if it means the day's quota. Client errors and errors of our own are final."""
+    record, rng, quota_used = record if record is not None else Record(), rng or random.Random(), False
+    while True:
+        began, attempt = clock(), record.attempt_count + 1
+        entry: dict[str, Any] = {"attempt": attempt, "error_code": None, "error_message": None}
+        record.attempts.append(entry)
+        try:
+            return make()
+        except ServiceError as e:
+            entry |= {"error_code": e.code, "error_message": e.message}
+            if e.code == 429 and is_daily(e.message):
+                raise DailyQuota(e.message) from e
+            if attempt >= ladder.attempts or (e.code == 429 and quota_used) or (e.code is not None and 400 <= e.code < 500 and e.code != 429):
+                raise
+            if e.code == 429:
+                asked, quota_used = asked_delay(e.retry_after), True
+                pause = ladder.quota_sleep if asked is None else min(asked, ladder.quota_most)
+            else:
+                nominal = ladder.nominal(attempt)
+                pause = rng.uniform(nominal * (1 - ladder.jitter), nominal * (1 + ladder.jitter))
+            entry["sleep_s"] = round(pause, 3)
+            record.sleep_total_s = round(record.sleep_total_s + pause, 3)
+            sleep(pause)
+        finally:
+            entry["elapsed_s"] = round(clock() - began - entry.get("sleep_s", 0.0), 3)
+
+
+def ladder_table(spark: SparkSession, ladder: Ladder = Ladder()) -> DataFrame:
+    """attempt, nominal sleep after it, and the least and most that jitter makes of it."""
+    n = spark.range(1, ladder.attempts).select(F.col("id").cast("int").alias("attempt"))
+    nominal = F.least(F.lit(ladder.base) * F.pow(F.lit(ladder.factor), F.col("attempt") - 1), F.lit(ladder.most))
+    return n.select("attempt", nominal.alias("nominal_s"), (nominal * (1 - ladder.jitter)).alias("least_s"), (nominal * (1 + ladder.jitter)).alias("most_s"))

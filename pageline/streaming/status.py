@@ -35,7 +35,10 @@ def first_seen(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Everything there is by now, through a memory table; for tests and small results."""
     spark, name = stream.sparkSession, f"s{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pageline-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or tempfile.mkdtemp(prefix="pageline-stream-")
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)

@@ -18,6 +18,7 @@ def test_masthead(spark):
 def test_prompt_rows_and_viewport(spark):
     rows = [(1, 1, "hello world", "x", (0.0, 1.0, 2.0, 3.0), ("S", 9.0, False, False, False), 0, 0, (False, False, False)), (1, 2, "D", "D", (0.0, 1.0, 2.0, 3.0), ("S", 37.0, False, False, False), 0, 0, (True, True, False))]
     df = spark.createDataFrame(rows, schemas.LINE)
-    assert masthead.prompt(df).first().prompt == "L0001|9.0|-|hello world\nL0002|37.0|D|D"
+    modal = spark.createDataFrame([(1, 9.0)], "page_num int, modal_size double")
+    assert masthead.prompt(df, modal).first().prompt == "PAGE 1 | modal_body_font_size=9.0pt | 2 lines\nL0001|9.0|-|hello world\nL0002|37.0|D|D"
     box = df.limit(1).select(masthead.viewport_box(F.struct(F.lit(265.75).alias("x0"), F.lit(336.303).alias("top"), F.lit(834.55).alias("x1"), F.lit(378.147).alias("bottom")), F.lit(1530.71), F.lit(1.0)).alias("b")).first().b
     assert [round(v, 3) for v in box] == [265.75, 336.303, 568.8, 41.844]

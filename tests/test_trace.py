@@ -1,11 +1,14 @@
 import datetime as dt
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from pageline import schemas
 from pageline.config import Config, load_config
-from pageline.operators import cachekeys, retention, status, trace
+from pageline.operators import cachekeys, retention, runs, status, trace
+from pageline.streaming import retry
 from pageline.streaming.limiter import Limiter
 
 T0 = dt.datetime(2025, 9, 13, 10, 0, 0)
@@ -40,10 +43,16 @@ def test_page_status_and_failed_pages_differ_on_purpose(spark):
     gold, errors = spark.createDataFrame([("e", "d", 1)], key), spark.createDataFrame([("e", "d", 1), ("e", "d", 2)], key)
     live = spark.createDataFrame([("e", "d", 3, "extracting")], key + ", status string")
     manifest = spark.createDataFrame([("e", "d", 4)], "edition string, date string, page_count int")
-    jobs = spark.createDataFrame([], "edition string, date string, pages_total int")
-    counts = status.page_counts(manifest, jobs, gold)
-    got = {r.page_num: r.status for r in status.page_status(counts, gold, errors, live).collect()}
-    assert got == {1: "done", 2: "failed", 3: "in_progress", 4: "pending"}
+    kind = "edition string, date string, pages_total int"
+
+    def states(*jobs):
+        counts = status.page_counts(manifest, spark.createDataFrame(list(jobs), kind), gold)
+        return {r.page_num: r.status for r in status.page_status(counts, gold, errors, live).collect()}
+
+    assert states() == {1: "done", 2: "failed", 3: "pending", 4: "pending"}
+    # a live job alone has the word: what lies on disk is not asked, and pages it doesn't have read null
+    assert states(("e", "d", 3)) == {1: "pending", 2: "pending", 3: "in_progress"}
+    assert states(("e", "d", 0)) == {1: None, 2: None, 3: None, 4: None}
     assert sorted(r.page_num for r in status.failed_pages(errors).collect()) == [1, 2]
 
 
@@ -72,6 +81,93 @@ def test_limiter():
             pass
 
 
+def test_limiter_holds_its_ceilings_with_many_threads():
+    import threading
+
+    limiter = Limiter(Config(requests_per_minute=1000, tokens_per_minute=100), concurrent=16, window=0.2, sleep=lambda s: time.sleep(0.002))
+    seen = []
+
+    def work():
+        for _ in range(4):
+            with limiter.call(40):
+                seen.append(limiter.usage()[1])
+
+    threads = [threading.Thread(target=work) for _ in range(16)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert len(seen) == 64 and max(seen) <= 100
+
+
+def test_rows_of_one_stage_are_dealt_over_slices(spark):
+    rng = random.Random(3)
+    at = sorted(rng.randrange(20_000) for _ in range(900))
+    e = spark.createDataFrame([(k, T0 + dt.timedelta(seconds=a), a) for k, a in enumerate(at)], "id int, at timestamp, n int").withColumn("k", F.lit(1))
+    got = {r.id: (r.window_rows, r.total) for r in trace.sliding(e, ["k"], "at", 60, slices=3, total=F.col("n")).collect()}
+    assert got == {k: (sum(a - 60 <= b <= a for b in at), sum(b for b in at if a - 60 <= b <= a)) for k, a in enumerate(at)}
+
+
+def test_calls_are_tried_again_as_the_ladder_says():
+    class Dice(random.Random):
+        def uniform(self, a, b):
+            return (a + b) / 2
+
+    def run(*errors):
+        slept, left, record = [], list(errors), retry.Record()
+
+        def make():
+            if left:
+                raise left.pop(0)
+            return "answer"
+
+        try:
+            return retry.call(make, sleep=slept.append, rng=Dice(), record=record), slept, record.attempt_count
+        except Exception as e:  # noqa: BLE001
+            return type(e).__name__, slept, record.attempt_count
+
+    down, quota = (lambda: retry.ServiceError("down", 503)), (lambda **k: retry.ServiceError("slow down", 429, **k))
+    assert run() == ("answer", [], 1)
+    assert run(down(), retry.ServiceError("cut"), down()) == ("answer", [4.0, 8.0, 16.0], 4)
+    assert run(*(down() for _ in range(4))) == ("ServiceError", [4.0, 8.0, 16.0], 4)
+    assert run(retry.ServiceError("bad", 404)) == ("ServiceError", [], 1)
+    assert run(quota()) == ("answer", [60.0], 2)
+    assert run(quota(retry_after="41s")) == ("answer", [41.0], 2) and run(quota(retry_after=500)) == ("answer", [90.0], 2)
+    assert run(quota(), quota()) == ("ServiceError", [60.0], 2)
+    assert run(retry.ServiceError("quota exceeded: requests per day", 429)) == ("DailyQuota", [], 1)
+    assert run(ValueError("own")) == ("ValueError", [], 1)
+    assert [retry.asked_delay(x) for x in (None, 3, "4.5s", "7", "soon")] == [None, 3, 4.5, 7.0, None]
+
+
+def test_the_ladder_as_a_table(spark):
+    assert [tuple(r) for r in retry.ladder_table(spark).orderBy("attempt").collect()] == [(1, 4.0, 2.0, 6.0), (2, 8.0, 4.0, 12.0), (3, 16.0, 8.0, 24.0)]
+
+
+def test_runs_open_and_close_in_the_log(spark):
+    kind = "run_id string, edition string, date string, pdf_hash string, page_count int, at timestamp, status string"
+    later = T0 + dt.timedelta(seconds=90)
+    log = spark.createDataFrame([("r", "e", "d", "h", 2, T0, "running"), ("s", "e", "d", None, 1, later, "running"), ("r", "e", "d", "h", 2, later, "done")], kind)
+    e = spark.createDataFrame([event(1, "r", 1, "gemini_call", '{"total_token_count": 70}'), event(2, "s", 1, "gemini_call", '{"total_token_count": 5}')], schemas.EVENTS)
+    got = runs.newest_first(runs.run_states(log, e)).collect()
+    assert [(r.run_id, r.status, r.total_wall_clock_s, r.total_tokens) for r in got] == [("s", "running", None, None), ("r", "done", 90.0, 70)]
+    assert len(runs.new_run_id()) == 16 and len(runs.new_job_id()) == 12 and runs.new_run_id() != runs.new_run_id()
+
+
+def test_an_edition_is_deleted_from_all_roots(spark, tmp_path):
+    for root, size in (("raw", 5), ("bronze", 7), ("cache", 9)):
+        for date in ("d1", "d2"):
+            folder = tmp_path / root / "chennai" / date
+            folder.mkdir(parents=True)
+            (folder / "x.bin").write_bytes(b"x" * size)
+    roots = {k: str(tmp_path / k) for k in ("raw", "bronze")}
+    files = retention.edition_files(spark, roots)
+    assert sorted(tuple(r) for r in files.select("root", "edition", "date", "size").collect()) == [(r, "chennai", d, n) for r, n in (("bronze", 7), ("raw", 5)) for d in ("d1", "d2")]
+    assert sorted(tuple(r) for r in retention.editions_anywhere(files).collect()) == [("chennai", "d1"), ("chennai", "d2")]
+    assert retention.delete_edition(spark, roots, "chennai", "d1") == 12
+    assert not (tmp_path / "raw/chennai/d1").exists() and (tmp_path / "raw/chennai/d2").exists() and (tmp_path / "cache/chennai/d1").exists()
+    assert retention.delete_edition(spark, roots, "nowhere", "d1") == 0
+    with pytest.raises(ValueError):
+        retention.delete_edition(spark, roots, "..", "d1")
+
+
 def test_config(monkeypatch):
     monkeypatch.setenv("PAGELINE_TOP_N", "5")
     assert load_config(values={"outlier_ratio": 2}).top_n == 5
