@@ -32,4 +32,16 @@ def written(df: DataFrame, what: str, codec: str = "zstd", partition_by: str | N
     if partition_by:
         out = out.partitionBy(partition_by)
     out.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` made, once nothing that is still to be read comes from them. Others are left alone."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
