@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -15,6 +14,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageline.sources.scratch import forget, shared_dir, written  # noqa: F401
+
 #: ASCII white space, between which words stand: the pattern of one word and of one gap.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]++"
@@ -41,33 +42,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it. Where none is set, a local session gets one of its own (driver and
-    executors are one process there); on a cluster that is an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = held.get() if held.isDefined() else None
-    if not named and spark.sparkContext.master.startswith("local"):
-        named = tempfile.mkdtemp(prefix="pageline-")
-    if not named:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def written(df: DataFrame, what: str, codec: str = "zstd", partition_by: str | None = None) -> DataFrame:
-    """The rows of ``df`` as a Parquet table in the shared folder, read back: it cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    out = df.write.option("compression", codec)
-    if partition_by:
-        out = out.partitionBy(partition_by)
-    out.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def n_words(text: Column) -> Column:
     """Words of a text (runs without ASCII white space); 0 for null. One split: fields less the empty ones at either end."""
     fields = F.split(F.coalesce(text, F.lit("")), GAP, -1)

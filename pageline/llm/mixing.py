@@ -13,10 +13,12 @@ their names.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ BLOCK = 4096
 POOL = 18
 #: Blocks whose undecided documents (two each) meet in the next round.
 GATHER = 1024
+#: Most rows whose numbers of copies are sent to all executors (a byte each).
+SENT = 32 << 20
 EPS = 1e-9
 
 
@@ -193,14 +197,52 @@ def decide(df: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST)
     return out.select("row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
 
 
+def _packed_copies(made: DataFrame) -> dict[int, np.ndarray]:
+    """Copies of each row by its number: of each partition (the upper bits) an array over the rows in it (the lower bits), a byte each."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            part, at, copies = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for p in np.unique(part).tolist():
+                held.setdefault(p, []).append(np.stack([at[part == p], copies[part == p]], 1))
+        for p, pieces in held.items():
+            found = np.concatenate(pieces)
+            out = np.zeros(int(found[:, 0].max()) + 1, np.uint8)
+            out[found[:, 0]] = found[:, 1]
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())], ["part", "copies"])
+
+    rows = made.select(F.shiftright("row", 33).cast("int").alias("part"), F.col("row").bitwiseAND((1 << 33) - 1).alias("at"), F.col("copies").cast("long").alias("copies"))
+    found = rows.repartition("part").mapInArrow(work, "part int, copies binary").collect()
+    return {r["part"]: np.frombuffer(zlib.decompress(r["copies"]), np.uint8) for r in found}
+
+
 def mix(df: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mixed rows: each row of ``df`` (doc_id, text, source, ...) as often as it is taken, with the columns of ``df``.
 
-    The rows are written with a number each, by which they meet their copies, so rows without an id or with the same one stay apart.
+    The rows are written with a number each, by which they meet their copies, so rows without an id or with the same one stay apart. Up to
+    ``SENT`` rows the numbers of copies, a byte each, are sent to the rows, and no text moves; beyond, rows and copies are joined.
     """
     kept = written(df.select(F.struct(*df.columns).alias("whole"), F.monotonically_increasing_id().alias("row")), "mix-rows")
-    made = decide(kept.select("row", "whole.doc_id", "whole.source", "whole.text"), weights, most).filter("copies > 0").select("row", "copies")
-    taken = kept.join(made, "row").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    made = decide(kept.select("row", "whole.doc_id", "whole.source", "whole.text"), weights, most)
+    if made.count() <= SENT:
+        copies = df.sparkSession.sparkContext.broadcast(_packed_copies(made))  # SENT bytes at most
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row = batch.column(1).to_numpy()
+                part, at = row >> 33, row & ((1 << 33) - 1)
+                n = np.zeros(len(row), np.int64)
+                for p in np.unique(part).tolist():
+                    n[part == p] = copies.value[p][at[part == p]]
+                times = np.repeat(np.arange(len(row)), n)
+                # no more bytes at once than the batch had
+                for k in range(0, len(times), max(1, len(row))):
+                    yield batch.select(["whole"]).take(pa.array(times[k : k + len(row)]))
+
+        taken = kept.mapInArrow(work, kept.select("whole").schema)
+    else:
+        taken = kept.join(made.filter("copies > 0").select("row", "copies"), "row").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return taken.select(*(F.col("whole").getField(c).alias(c) for c in df.columns))
 
 

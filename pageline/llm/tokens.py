@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageline.llm.common import documents, slices, written
+from pageline.llm.common import documents, forget, slices, written
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
@@ -286,7 +286,9 @@ def write_ids(df: DataFrame, tokenizer: str = TOKENIZER, remembered: int = REMEM
     tie = F.xxhash64("ids")
     rows = packed.repartitionByRange(files, "doc_id", tie).sortWithinPartitions("doc_id", tie)
     head = spark.createDataFrame([(-1, 0, 0, 0, [], bytearray(table))], schema)
-    return written(rows.mapInArrow(work, schema).unionByName(head), "ids", "uncompressed")
+    out = written(rows.mapInArrow(work, schema).unionByName(head), "ids", "uncompressed")
+    forget(packed)
+    return out
 
 
 def read_ids(files: DataFrame) -> DataFrame:
