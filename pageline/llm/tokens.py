@@ -254,9 +254,10 @@ def id_counts(packed: DataFrame, dtype: np.dtype) -> np.ndarray:
 def write_ids(df: DataFrame, tokenizer: str = TOKENIZER, remembered: int = REMEMBERED) -> DataFrame:
     """The files: rows part, block, before (ids of the part that stand before it), n_ids, doc_ids, data; part -1 holds the code lengths."""
     spark = df.sparkSession
-    dtype = ChunkTokenizer.of(tokenizer).dtype
+    dtype = np.dtype(ChunkTokenizer.of(tokenizer).dtype)
     packed = written(tokenize(df, tokenizer, remembered), "packed-ids")
-    lengths = code_lengths(id_counts(packed, dtype))
+    counts = id_counts(packed, dtype)
+    lengths = code_lengths(counts)
     schema = "part int, block int, before long, n_ids long, doc_ids array<long>, data binary"
     table = lengths.tobytes()
 
@@ -281,7 +282,7 @@ def write_ids(df: DataFrame, tokenizer: str = TOKENIZER, remembered: int = REMEM
             yield flush()
 
     # rows that share an id, or have none, stand in the order of a hash of their ids; a file holds about FILE_BYTES of packed ids
-    size = packed.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    size = int(counts.sum()) * dtype.itemsize
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     tie = F.xxhash64("ids")
     rows = packed.repartitionByRange(files, "doc_id", tie).sortWithinPartitions("doc_id", tie)
