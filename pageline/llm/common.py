@@ -21,10 +21,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]++"
 #: Rows handled together in Python: a batch is cut when its texts pass so many bytes.
 SLICE_BYTES = 4 << 20
+#: Rows that Spark sends to Python at once, unless the session says otherwise.
+ROWS = 2000
 
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for each context, so that their Python finds it wherever the driver runs."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        # whole texts are long: Spark's own default would hold some 100 MB of them at once
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     context = spark.sparkContext
     if getattr(context, "_pageline_shipped", False):
         return

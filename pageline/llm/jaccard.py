@@ -32,7 +32,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pageline.llm.common import documents, forget, mix64, rolling, slices, word_hashes, written
 from pageline.llm.graph import components
@@ -422,21 +421,6 @@ def _passes(known: np.ndarray, ids: pa.Array) -> np.ndarray:
     return (known[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
-    """``df`` without the rows whose ``key`` (long, not null) is in ``gone`` (column ``key``): what a filter of these ids lets pass is looked
-    up, all other rows stay where they are, so few texts travel."""
-    known = df.sparkSession.sparkContext.broadcast(_id_filter(gone.select(F.col(key).alias("doc_id"))))
-    schema = T.StructType([*df.schema.fields, T.StructField("_maybe", T.BooleanType())])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_passes(known.value, batch.column(batch.schema.get_field_index(key))))], schema=pa.schema([*batch.schema, pa.field("_maybe", pa.bool_())]))
-
-    told = df.mapInArrow(work, schema)
-    looked_up = told.filter("_maybe").join(gone.select(key).distinct(), key, "left_anti")
-    return told.filter("not _maybe").unionByName(looked_up).drop("_maybe")
-
-
 def _packed_texts(df: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and the text, compressed, for shuffles that carry texts: of the documents in ``ids`` and the few others that its filter
     lets pass."""
