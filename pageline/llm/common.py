@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import zipfile
@@ -53,8 +54,20 @@ def n_words(text: Column) -> Column:
     return (F.size(fields) - (F.element_at(fields, 1) == "").cast("int") - ((F.element_at(fields, -1) == "") & (F.size(fields) > 1)).cast("int")).cast("long")
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: workers live on from stage to stage, and what one stage freed another process may need."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that the texts of one piece stay under ``limit`` bytes (a single longer text stands alone)."""
+    """The batches, cut so that the texts of one piece stay under ``limit`` bytes (a single longer text stands alone).
+
+    Before the first and after the last one the worker hands back what it had freed.
+    """
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -67,6 +80,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
                 start, held = i, 0
             held += int(n)
         yield batch.slice(start)
+    give_back()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

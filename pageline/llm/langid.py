@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 from pageline.llm.common import documents, slices
 
 TOP = 300
+PIECE = 1 << 20
 SAMPLE = 400
 #: Up to so many languages the sample's ids are sent to all documents; those of more meet them in a join.
 FEW = 256
@@ -115,7 +116,7 @@ def fit(df: DataFrame, sample: int = SAMPLE, top: int = TOP) -> Profiles:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
-        for batch in slices(batches):
+        for batch in slices(batches, limit=PIECE):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(lang, []).append(gram_counts(text))
         for lang, parts in held.items():
@@ -140,7 +141,7 @@ def predict(df: DataFrame, profiles: Profiles) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = held.value.judge
-        for batch in slices(batches):
+        for batch in slices(batches, limit=PIECE):
             out = [judge(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.float64())], [*kept, "lang_pred", "score"])
 
