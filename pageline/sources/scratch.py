@@ -37,9 +37,16 @@ def written(df: DataFrame, what: str, codec: str = "zstd", partition_by: str | N
     return back
 
 
+def reading(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``df``, marked as one that reads ``tables``: who has written its rows elsewhere may ``forget`` it, and these with it."""
+    df._reads = tables
+    return df
+
+
 def forget(*tables: DataFrame) -> None:
-    """Removes tables that ``written`` made, once nothing that is still to be read comes from them. Others are left alone."""
-    for df in tables:
+    """Removes tables that ``written`` made, and those that a DataFrame is marked to read, once nothing that is still to be read comes
+    from them. Others are left alone."""
+    for df in [t for own in tables for t in (own, *getattr(own, "_reads", ()))]:
         path = getattr(df, "_written_to", None)
         if path:
             spark = df.sparkSession
