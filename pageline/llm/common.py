@@ -15,7 +15,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageline.sources.scratch import forget, shared_dir, written  # noqa: F401
+from pageline.sources.scratch import forget, reading, shared_dir, written  # noqa: F401
 
 #: ASCII white space, between which words stand: the pattern of one word and of one gap.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -175,6 +175,9 @@ def _counted(df: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
     hot = np.zeros(1 << bits, bool)
     for r in counts.collect():  # one bit a bucket, 2 MB at most
         hot[r.block << 14 : (r.block + 1) << 14] = np.unpackbits(np.frombuffer(r.bitmap, np.uint8)).astype(bool)
+    # the counts are many times the rows that are still to be read
+    narrow = written(narrow, "set-sizes")
+    forget(both)
     return narrow, hot, int(narrow.agg(F.sum("n")).first()[0] or 0)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageline.llm.common import documents, n_words, written
+from pageline.llm.common import documents, n_words, reading, written
 
 WEIGHTS = (1, 2, 3)
 #: No document is taken more often.
@@ -243,7 +243,7 @@ def mix(df: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) ->
         taken = kept.mapInArrow(work, kept.select("whole").schema)
     else:
         taken = kept.join(made.filter("copies > 0").select("row", "copies"), "row").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*(F.col("whole").getField(c).alias(c) for c in df.columns))
+    return reading(taken.select(*(F.col("whole").getField(c).alias(c) for c in df.columns)), kept)
 
 
 def op7_cube_mix(spark, sf_dir: str) -> DataFrame:
