@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pageline.llm import decontaminate, jaccard, langid, media, mixing, pii, quality, sharding, substrings, tokens
+from pageline.llm import decontaminate, jaccard, langid, licenses, media, mixing, pii, quality, sharding, substrings, tokens
 
 QUERIES = {
     "op4_personal_data": pii.op4_personal_data,
@@ -15,8 +15,10 @@ QUERIES = {
     "op7_cube_mix": mixing.op7_cube_mix,
     "op8_media_tiles": media.op8_media_tiles,
     "op10_shards": sharding.op10_shards,
+    "op11_licenses": licenses.op11_licenses,
 }
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": substrings.ORACLE,
     "op9_jaccard_join": jaccard.ORACLE,
+    "op11_licenses": licenses.ORACLE,
 }
