@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pageline.llm import decontaminate, importance, jaccard, langid, licenses, media, mixing, pii, quality, sharding, substrings, tokens
+from pageline.llm import conversations, decontaminate, importance, jaccard, langid, licenses, media, mixing, pii, quality, sharding, substrings, tokens
 
 QUERIES = {
     "op4_personal_data": pii.op4_personal_data,
@@ -16,11 +16,13 @@ QUERIES = {
     "op8_media_tiles": media.op8_media_tiles,
     "op10_shards": sharding.op10_shards,
     "op11_licenses": licenses.op11_licenses,
+    "op12_conversation_trie": conversations.op12_conversation_trie,
     "op13_importance": importance.op13_importance,
 }
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": substrings.ORACLE,
     "op9_jaccard_join": jaccard.ORACLE,
     "op11_licenses": licenses.ORACLE,
+    "op12_conversation_trie": conversations.ORACLE,
     "op13_importance": importance.ORACLE,
 }
