@@ -28,7 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageline.llm.common import documents, mix64, rolling, slices, word_hashes, written
+from pageline.llm.common import documents, mix64, rolling, slices, word_hashes
+from pageline.llm.jaccard import _id_filter, _passes
 
 WINDOW = 13
 #: Suffixes of one group, about; and of one batch that settles its own repeats.
@@ -112,11 +113,19 @@ def prefix_counts(df: DataFrame, window: int = WINDOW) -> tuple[list[np.ndarray]
     return [total[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], int(total[-1])
 
 
-def _digest(text: bytes | None) -> int:
-    """16 bits of a text: tells rows that repeat a doc_id apart."""
+def _repeated(docs: DataFrame) -> np.ndarray:
+    """A filter of the doc_ids that rows share; only their rows need marks."""
+    return _id_filter(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+
+
+def _marks(ids: pa.Array, texts: list[bytes | None], repeated: np.ndarray) -> np.ndarray:
+    """128 bits of the text for rows that may repeat a doc_id, which tell them apart; zeros for all others, which pack to nothing."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(text or b"") & 0xFFFF
+    out = np.zeros((len(texts), 2), np.uint64)
+    for k in np.flatnonzero(_passes(repeated, ids)).tolist():
+        out[k] = np.frombuffer(xxhash.xxh3_128_digest(texts[k] or b""), "<u8")
+    return out
 
 
 def _apart(x: np.ndarray, dtype: str) -> bytes:
@@ -129,36 +138,45 @@ def _together(data: bytes, at: int, n: int, dtype: str) -> tuple[np.ndarray, int
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T).view(dtype).reshape(-1), at + n * width
 
 
-def _pack_docs(ids: np.ndarray, digests: np.ndarray, n: np.ndarray, pos: np.ndarray) -> bytes:
-    """Documents (id, digest, how many windows) and the first words of their windows, as steps within a document."""
+def _pack_docs(ids: np.ndarray, marks: np.ndarray, n: np.ndarray, pos: np.ndarray) -> bytes:
+    """Documents (id, mark if any has one, how many windows) and the first words of their windows, as steps within a document."""
     first = np.cumsum(n) - n
     step = np.diff(pos, prepend=0)
     step[first] = pos[first]
-    return struct.pack("<II", len(ids), len(pos)) + _apart(np.diff(ids, prepend=0), "<i8") + _apart(digests, "<u2") + _apart(n, "<u4") + _apart(step, "<u4")
+    marked = bool(marks.any())
+    told = b"".join(_apart(marks[:, k], "<u8") for k in range(2)) if marked else b""
+    return struct.pack("<II?", len(ids), len(pos), marked) + _apart(np.diff(ids, prepend=0), "<i8") + told + _apart(n, "<u4") + _apart(step, "<u4")
 
 
 def _unpack_docs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Of each window its document's id and digest, and its first word; and where the data behind begins."""
-    docs, m = struct.unpack_from("<II", data)
-    steps, at = _together(data, 8, docs, "<i8")
-    digests, at = _together(data, at, docs, "<u2")
+    """Of each window its document's id and mark, and its first word; and where the data behind begins."""
+    docs, m, marked = struct.unpack_from("<II?", data)
+    steps, at = _together(data, 9, docs, "<i8")
+    marks = np.zeros((docs, 2), np.uint64)
+    for k in range(2 * marked):
+        marks[:, k], at = _together(data, at, docs, "<u8")
     n, at = _together(data, at, docs, "<u4")
     step, at = _together(data, at, m, "<u4")
     n, run = n.astype(np.int64), np.cumsum(step.astype(np.int64))
     first = np.cumsum(n) - n
-    return np.repeat(np.cumsum(steps), n), np.repeat(digests, n), run - np.repeat(run[first] - step[first], n), at
+    return np.repeat(np.cumsum(steps), n), np.repeat(marks, n, axis=0), run - np.repeat(run[first] - step[first], n), at
+
+
+def _new(ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Where another document begins."""
+    return np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1]).any(axis=1)]))
 
 
-def _pack_flags(ids: np.ndarray, digests: np.ndarray, pos: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
-    """Removed windows by bucket of documents: documents (id, digest), windows of each, first words."""
+def _pack_flags(ids: np.ndarray, marks: np.ndarray, pos: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+    """Removed windows by bucket of documents: documents (id, mark), windows of each, first words."""
     bucket = (mix64(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((pos, digests, ids, bucket))
-    bucket, ids, digests, pos = bucket[order], ids[order], digests[order], pos[order]
+    order = np.lexsort((pos, *((marks[:, 1], marks[:, 0]) if marks.any() else ()), ids, bucket))
+    bucket, ids, marks, pos = bucket[order], ids[order], marks[order], pos[order]
     names, blobs = [], []
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
     for first, last in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=True):
-        i, d, p = ids[first:last], digests[first:last], pos[first:last]
-        new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (d[1:] != d[:-1])]))
+        i, d, p = ids[first:last], marks[first:last], pos[first:last]
+        new = _new(i, d)
         names.append(int(bucket[first]))
         blobs.append(_pack_docs(i[new], d[new], np.diff(np.append(new, len(i))), p))
     return names, blobs
@@ -172,13 +190,13 @@ def _sent(kind: int, places: list[int], blobs: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(places), pa.int32()), pa.array(places, pa.int32()), pa.array(blobs, pa.binary())], ["kind", "place", "data"])
 
 
-def _suffixes(df: DataFrame, groups: Groups, buckets: int, window: int) -> DataFrame:
+def _suffixes(df: DataFrame, groups: Groups, buckets: int, window: int, repeated) -> DataFrame:
     """One pass over the texts: batches settle their own repeats and send the first document of each path to the path's group."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> Iterator[pa.RecordBatch]:
             path, part, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            ids, digests = np.array(names, np.int64), np.array(marks, np.uint16)
+            ids, told = np.array(names, np.int64), np.concatenate(marks)
             rank = np.empty(len(ids), np.int64)
             rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
             order = np.argsort(rank[doc], kind="stable")
@@ -189,7 +207,7 @@ def _suffixes(df: DataFrame, groups: Groups, buckets: int, window: int) -> DataF
             smallest = np.repeat(ids[of[new_path]], np.diff(np.append(np.flatnonzero(new_path), len(key))))
             local = order[new_doc & (ids[of] > smallest)]
             if len(local):
-                yield _sent(1, *_pack_flags(ids[doc[local]], digests[doc[local]], pos[local], buckets))
+                yield _sent(1, *_pack_flags(ids[doc[local]], told[doc[local]], pos[local], buckets))
             go = np.sort(order[new_doc & (ids[of] == smallest)])
             go = go[np.argsort(part[go], kind="stable")]
             cut = np.flatnonzero(np.diff(part[go], prepend=-1))
@@ -199,7 +217,7 @@ def _suffixes(df: DataFrame, groups: Groups, buckets: int, window: int) -> DataF
                 new = np.flatnonzero(np.diff(doc[mine], prepend=-1))
                 used = doc[mine[new]]
                 label = np.ascontiguousarray((path[mine] & LABEL).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7])
-                blobs.append(_pack_docs(ids[used], digests[used], np.diff(np.append(new, len(mine))), pos[mine]) + label.tobytes())
+                blobs.append(_pack_docs(ids[used], told[used], np.diff(np.append(new, len(mine))), pos[mine]) + label.tobytes())
             yield _sent(0, part[go[cut]].tolist(), blobs)
 
         held, names, marks, count = [], [], [], 0
@@ -210,7 +228,7 @@ def _suffixes(df: DataFrame, groups: Groups, buckets: int, window: int) -> DataF
                 continue
             held.append((path, groups.of(path, levels), of + len(names), pos))
             names += batch.column(0).to_pylist()
-            marks += [_digest(t) if k >= window else 0 for t, k in zip(texts, n.tolist(), strict=True)]
+            marks.append(_marks(batch.column(0), texts, repeated.value))
             count += len(path)
             if count >= BATCH:
                 yield from flush()
@@ -226,11 +244,11 @@ def _nodes(sent: DataFrame, buckets: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle() -> Iterator[pa.RecordBatch]:
-            ids, digests, pos, labels = [], [], [], []
+            ids, marks, pos, labels = [], [], [], []
             for data in held:
                 own, mark, at, end = _unpack_docs(data)
                 ids.append(own)
-                digests.append(mark)
+                marks.append(mark)
                 pos.append(at)
                 label = np.zeros((len(own), 8), np.uint8)
                 label[:, :7] = np.frombuffer(data, np.uint8, offset=end).reshape(len(own), 7)
@@ -249,7 +267,7 @@ def _nodes(sent: DataFrame, buckets: int) -> DataFrame:
                 gone = own > np.repeat(smallest, count)
                 if gone.any():
                     at = order[gone]
-                    yield _sent(1, *_pack_flags(own[gone], np.concatenate(digests)[at], np.concatenate(pos)[at], buckets))
+                    yield _sent(1, *_pack_flags(own[gone], np.concatenate(marks)[at], np.concatenate(pos)[at], buckets))
 
         held, now = [], None
         for batch in batches:
@@ -276,7 +294,8 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW) -> DataFrame:
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(partitions, -(-size // BUCKET_BYTES))
     groups = Groups(counts, GROUP, partitions)
-    flags = _nodes(_suffixes(docs, groups, buckets, window), buckets).select("place", F.lit(0).alias("role"), F.lit(None).cast("long").alias("doc_id"), "data")
+    repeated = df.sparkSession.sparkContext.broadcast(_repeated(docs))
+    flags = _nodes(_suffixes(docs, groups, buckets, window, repeated), buckets).select("place", F.lit(0).alias("role"), F.lit(None).cast("long").alias("doc_id"), "data")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
@@ -297,13 +316,13 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW) -> DataFrame:
                     now, gone = p, {}
                 if r == 0:
                     i, d, at, _ = _unpack_docs(x)
-                    new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (d[1:] != d[:-1])]))
+                    new = _new(i, d)
                     for first, last in zip(new.tolist(), [*new[1:].tolist(), len(i)], strict=True):
-                        gone.setdefault((int(i[first]), int(d[first])), []).append(at[first:last])
+                        gone.setdefault((int(i[first]), d[first].tobytes()), []).append(at[first:last])
                     continue
                 text = open_.decompress(x)
                 words = text.split()
-                found = gone.get((doc, _digest(text))) if doc is not None and gone else None
+                found = gone.get((doc, _marks(pa.array([doc], pa.int64()), [text], repeated.value).tobytes())) if doc is not None and gone else None
                 if found:
                     path = rolling(word_hashes([text])[0], window)
                     starts = np.flatnonzero(np.isin(path, path[np.concatenate(found)]))

@@ -467,7 +467,8 @@ def test_extra_columns_with_any_name_do_no_harm(spark, docs, awkward, save):
     item = texts[-1]
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
-    d = docs(texts, ["en"] * len(texts), benchmark=bench, labels=labels)
+    talk = spark.createDataFrame([(k, 1, "user", "hello") for k in range(9)], "conv_id long, turn long, role string, text string")
+    d = docs(texts, ["en"] * len(texts), benchmark=bench, labels=labels, conversations=talk)
     plain = {name: sorted(map(str, q(spark, d).collect())) for name, q in QUERIES.items()}
     df = spark.read.parquet(f"{d}/documents.parquet").withColumns({c: F.lit("clash") for c in CLASHING})
     df = spark.createDataFrame(df.collect(), df.schema)
@@ -478,3 +479,20 @@ def test_extra_columns_with_any_name_do_no_harm(spark, docs, awkward, save):
 
 def test_brute_force_helpers_agree_on_the_easy_case():
     assert removed(["a b"])[0][:2] == (2, 0)
+
+
+# 2 -------------------------------------------------------------------------------------------------------------------
+
+
+def test_rows_of_one_id_are_told_apart_by_more_than_a_few_bits(spark, docs):
+    import xxhash
+
+    rng = random.Random(21)
+    passage = prose(rng, 40)
+    long = prose(rng, 100) + " " + passage + " " + prose(rng, 90)
+    low = xxhash.xxh3_64_intdigest(long.encode()) & 0xFFFF
+    # a short row of the same id whose hash ends in the same 16 bits
+    short = next(t for t in (f"{prose(rng, 14)} {k}" for k in range(2_000_000)) if xxhash.xxh3_64_intdigest(t.encode()) & 0xFFFF == low)
+    texts, ids = [passage, short, long, short, prose(rng, 30) + " " + passage], [1, 5, 5, 5, 5]
+    got = rows(QUERIES["op2_substring_dedup"](spark, docs(texts, ids=ids)), "doc_id", "n_words")
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == sorted([(1, 40, 0), (5, 15, 0), (5, 15, 0), (5, 230, 40), (5, 70, 40)])

@@ -443,7 +443,7 @@ def test_packing_is_even():
 
 def test_empty_tables(spark, docs, save):
     path = docs([])
-    save(benchmark=spark.createDataFrame([], "item_id long, text string"), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    save(benchmark=spark.createDataFrame([], "item_id long, text string"), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"), conversations=spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     for name, query in QUERIES.items():
         assert query(spark, path).count() == 0, name
 
