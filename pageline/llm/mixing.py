@@ -223,7 +223,7 @@ def mix(df: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) ->
     The rows are written with a number each, by which they meet their copies, so rows without an id or with the same one stay apart. Up to
     ``SENT`` rows the numbers of copies, a byte each, are sent to the rows, and no text moves; beyond, rows and copies are joined.
     """
-    kept = written(df.select(F.struct(*df.columns).alias("whole"), F.monotonically_increasing_id().alias("row")), "mix-rows")
+    kept = written(df.select(F.struct(*(f"`{c}`" for c in df.columns)).alias("whole"), F.monotonically_increasing_id().alias("row")), "mix-rows")
     made = decide(kept.select("row", "whole.doc_id", "whole.source", "whole.text"), weights, most)
     if made.count() <= SENT:
         copies = df.sparkSession.sparkContext.broadcast(_packed_copies(made))  # SENT bytes at most
