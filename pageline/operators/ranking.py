@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from pageline.config import Config
 from pageline.functions.text import first_words, same_story, topic_words, words
 from pageline.operators.masthead import corrections, ranking_prompt
+from pageline.operators.scan import before
 
 #: Fixed values.
 CATEGORIES = (
@@ -82,9 +83,8 @@ def ranking_issues(ranked: DataFrame, excluded: DataFrame, corpus: DataFrame, co
 
 
 def not_falling(df: DataFrame, keys: list[str], rank, pos: str, score: str, keep: str | None = None) -> DataFrame:
-    """Rows whose score is above the last known score before them, in the order of rank. A ranking is short, so a key fits a task."""
-    w = Window.partitionBy(*keys).orderBy(rank, F.col(pos)).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumn(keep or "_last", F.last(score, ignorenulls=True).over(w)).filter(F.col(score) > F.col(keep or "_last"))
+    """Rows whose score is above the last known score before them, in the order of rank."""
+    out = before(df, keys, [rank.asc(), F.asc(pos)], F.col(score), keep or "_last").filter(F.col(score) > F.col(keep or "_last"))
     return out if keep else out.drop("_last")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pageline.operators.scan import running_sum
 from pageline.operators.trace import CALL, detail, latest, run_totals
 
 #: What a stage says of its attempts.
@@ -87,8 +88,8 @@ def page_tokens(events: DataFrame, call: str = CALL) -> DataFrame:
     said = {"prompt": "prompt_token_count", "thinking": "thoughts_token_count", "output": "candidates_token_count"}
     rows = events.select("run_id", "page_num").distinct().join(last.select("run_id", "page_num", *(detail(v).alias(k) for k, v in said.items())), ["run_id", "page_num"], "left").fillna(0, list(said))
     total = F.col("prompt") + F.col("thinking") + F.col("output")
-    so_far = Window.partitionBy("run_id").orderBy("page_num").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("tokens", total).withColumns({"bar_pct": F.least(F.lit(100.0), F.col("tokens") / BAR_TOKENS * 100), "running_total": F.sum("tokens").over(so_far)})
+    rows = rows.withColumn("tokens", total).withColumn("bar_pct", F.least(F.lit(100.0), F.col("tokens") / BAR_TOKENS * 100))
+    return running_sum(rows, ["run_id"], [F.asc("page_num")], {"running_total": F.col("tokens")})
 
 
 def failure_counts(detail_json: Column) -> Column:

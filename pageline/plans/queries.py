@@ -8,11 +8,10 @@ from pyspark.sql.window import Window
 
 from pageline.functions.text import STOPWORDS, first_words, squeezed, topic_words
 from pageline.functions.text import same_story as stories_alike
-from pageline.operators import canary, ranges, ranking, status, trace
+from pageline.operators import canary, ranges, ranking, scan, status, trace
 from pageline.operators.retention import expired
 from pageline.operators.cachekeys import page_key, ranking_key, short_hash
 from pageline.operators.lines import first_most_frequent
-from pageline.operators.lines import islands as cut_islands
 from pageline.operators.validate import headline_quality as quality_of
 from pageline.plans.register import Registry
 from pageline.plans.bindings import EVENTS_SQL, HEADS_SQL, LINES_SQL, events, first_lines, lines
@@ -107,11 +106,9 @@ def failed_pages(spark: SparkSession, d: str) -> DataFrame:
     SELECT id, run_id, CAST(sum(brk) OVER (PARTITION BY run_id ORDER BY started_at, id ROWS UNBOUNDED PRECEDING) AS INTEGER) AS island FROM b"""
 )
 def islands(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("run_id").orderBy("started_at", "id")
-    e = events(spark, d).withColumn("p", F.lag(F.struct("is_error", "started_at")).over(w))
-    gap = F.unix_micros(F.col("started_at").cast("timestamp")) - F.unix_micros(F.col("p.started_at").cast("timestamp"))
-    breaks = F.col("p").isNull() | (F.col("p.is_error") != F.col("is_error")) | (gap > 3_600_000_000)
-    return cut_islands(e, ["run_id"], ["started_at", "id"], breaks, "island").select("id", "run_id", "island")
+    gap = F.unix_micros(F.col("started_at").cast("timestamp")) - F.unix_micros(F.col("_prev.started_at").cast("timestamp"))
+    breaks = F.col("_prev").isNull() | (F.col("_prev.is_error") != F.col("is_error")) | (gap > 3_600_000_000)
+    return scan.islands(events(spark, d), ["run_id"], [F.asc("started_at"), F.asc("id")], F.struct("is_error", "started_at"), breaks, "island").select("id", "run_id", "island")
 
 
 @query(
@@ -122,9 +119,8 @@ def islands(spark: SparkSession, d: str) -> DataFrame:
 def fragments(spark: SparkSession, d: str) -> DataFrame:
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     x = table(spark, d, "lineitem").select("l_orderkey", *order, "l_quantity")
-    prev = F.lag("l_extendedprice").over(Window.partitionBy("l_orderkey").orderBy(*order))
-    x = x.withColumn("p", prev)
-    cut = cut_islands(x, ["l_orderkey"], order, F.col("p").isNull() | (F.abs(F.col("l_extendedprice") - F.col("p")) > 20000), "fragment")
+    breaks = F.col("_prev").isNull() | (F.abs(F.col("l_extendedprice") - F.col("_prev")) > 20000)
+    cut = scan.islands(x, ["l_orderkey"], [F.asc(c) for c in order], F.col("l_extendedprice"), breaks, "fragment")
     return cut.groupBy("l_orderkey", "fragment").agg(F.min("l_extendedprice").alias("x0"), F.max("l_extendedprice").alias("x1"), F.min("l_quantity").alias("top"), F.max("l_quantity").alias("bottom"))
 
 
@@ -164,7 +160,7 @@ def adjacent_pair(spark: SparkSession, d: str) -> DataFrame:
 )
 def running_tokens(spark: SparkSession, d: str) -> DataFrame:
     p = events(spark, d).groupBy("run_id", "page_num").agg(F.count("*").alias("calls"), F.round(F.sum("duration_s"), 4).alias("duration_s"))
-    return p.withColumn("running_calls", F.sum("calls").over(Window.partitionBy("run_id").orderBy("page_num").rowsBetween(Window.unboundedPreceding, 0)))
+    return scan.running_sum(p, ["run_id"], [F.asc("page_num")], {"running_calls": F.col("calls")})
 
 
 @query(
