@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pageline.operators.scan import before
+
 CALLS = ("gemini_call", "ranking")
 CALL = CALLS[0]
 
@@ -60,9 +62,19 @@ def last_before(df: DataFrame, keys: list[str], value: str, order: str, default:
     return df.groupBy(*keys).agg(F.coalesce(F.nullif(F.max_by(value, order), F.lit(0)), F.lit(default)).alias(value))
 
 
-def retry_ladder(attempts: int = 4, base: float = 4.0, factor: float = 2.0, most: float = 30.0) -> list[tuple[int, float]]:
-    """Nominal sleeps after each failed attempt but the last."""
-    return [(n, min(base * factor ** (n - 1), most)) for n in range(1, attempts)]
+def as_of(rows: DataFrame, states: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Each of ``rows`` with ``value`` of the last of ``states`` of its key before it, in ``order``, or null: one union and the last known
+    value, no join of times. At equal places states come first."""
+    told = states.select(*keys, *order, value.alias(name), F.lit(0).alias("_of"))
+    both = rows.withColumn("_of", F.lit(1)).unionByName(told, allowMissingColumns=True)
+    return before(both, keys, [*(F.asc(c) for c in order), F.asc("_of")], F.col(name), "_known").filter("_of = 1").withColumn(name, F.col("_known")).drop("_known", "_of")
+
+
+def retry_ladder(spark: SparkSession, attempts: int = 4, base: float = 4.0, factor: float = 2.0, most: float = 30.0, jitter: float = 0.5) -> DataFrame:
+    """After each failed attempt but the last: nominal sleep, and the least and most that jitter makes of it."""
+    n = spark.range(1, attempts).select(F.col("id").cast("int").alias("attempt"))
+    nominal = F.least(F.lit(base) * F.pow(F.lit(factor), F.col("attempt") - 1), F.lit(most))
+    return n.select("attempt", nominal.alias("nominal_s"), (nominal * (1 - jitter)).alias("least_s"), (nominal * (1 + jitter)).alias("most_s"))
 
 
 def classify_error(kind: Column, code: Column, message: Column) -> dict[str, Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +17,8 @@ from pageline.operators.lines import first_most_frequent
 from pageline.operators.validate import headline_quality as quality_of
 from pageline.plans.register import Registry
 from pageline.plans.bindings import EVENTS_SQL, HEADS_SQL, LINES_SQL, events, first_lines, lines
+from pageline.sources.log import KeyedLog
+from pageline.sources.scratch import shared_dir
 from pageline.sources.tables import table
 
 registry = Registry()
@@ -517,7 +521,37 @@ def error_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {EVENTS_SQL} SELECT run_id, page_num, max(id) AS id, arg_max(stage, id) AS stage FROM e GROUP BY run_id, page_num")
 def stream_status(spark: SparkSession, d: str) -> DataFrame:
-    """As ``dedupe_latest``, but by a stream that reads the event files and ends when there are no more."""
-    from pageline.streaming.status import event_stream, page_progress, run_to_end
-
-    return run_to_end(page_progress(event_stream(spark, d)))
+    """SR4, SR5: as ``dedupe_latest``, but by a stream whose state is kept by page and whose changes are written exactly once."""
+    from pageline.streaming.progress import follow, progress_log
+    from pageline.streaming.status import event_stream
+
+    base = f"{shared_dir(spark)}/progress-{uuid.uuid4().hex}"
+    stream = event_stream(spark, d).select(F.col("user_id").alias("run_id"), "page_num", F.col("event_id").alias("id"), F.col("event_type").alias("stage"))
+    follow(stream, f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return progress_log(spark, f"{base}/table").current().select("run_id", "page_num", "id", "stage")
+
+
+@query(f"WITH {EVENTS_SQL} SELECT run_id, page_num, max(id) AS id, arg_max(stage, id) AS stage, arg_max(duration_s, id) AS duration_s FROM e GROUP BY run_id, page_num")
+def compacted_log(spark: SparkSession, d: str) -> DataFrame:
+    """SK5, SK6: the events in four batches, one of them twice, compacted half-way: what a keyed log holds in the end."""
+    log = KeyedLog(spark, f"{shared_dir(spark)}/events-{uuid.uuid4().hex}", "run_id bigint, page_num bigint, id bigint, stage string, duration_s double", ["run_id", "page_num"], "id")
+    rows = events(spark, d).select("run_id", "page_num", "id", "stage", "duration_s")
+    for batch in (0, 1, 1, 2, 0, 3):
+        log.write(rows.filter(F.pmod(F.xxhash64("id"), F.lit(4)) == batch), batch)
+        if batch == 2:
+            log.compact()
+    return log.current()
+
+
+@query(
+    f"""WITH {EVENTS_SQL} SELECT id, run_id, page_num, (SELECT count(*) FROM e AS o WHERE o.run_id = e.run_id AND o.page_num = e.page_num AND NOT o.is_error AND (o.started_at, o.id) < (e.started_at, e.id)) AS calls_before,
+    (SELECT arg_max(o.id, (o.started_at, o.id)) FROM e AS o WHERE o.run_id = e.run_id AND o.page_num = e.page_num AND NOT o.is_error AND (o.started_at, o.id) < (e.started_at, e.id)) AS last_call FROM e WHERE is_error"""
+)
+def attempts_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """JN18, WN8: for each error what its page had been through when it came: calls so far, and the last of them."""
+    state = F.struct(F.col("id").alias("last_call"), F.col("calls").alias("calls_before"))
+    calls = events(spark, d).filter("not is_error and page_num is not null")
+    counted = scan.running_sum(calls.withColumn("one", F.lit(1).cast("long")), ["run_id", "page_num"], [F.asc("started_at"), F.asc("id")], {"calls": F.col("one")})
+    errors = events(spark, d).filter("is_error and page_num is not null")
+    out = trace.as_of(errors, counted, ["run_id", "page_num"], ["started_at", "id"], state, "s")
+    return out.select("id", "run_id", "page_num", F.coalesce("s.calls_before", F.lit(0)).alias("calls_before"), "s.last_call")

@@ -1,10 +1,7 @@
-"""Live progress as a stream: the latest event of each run and page, and rolling rates. Windows and watermarks are extensions of our own."""
+"""The event log as a stream: rolling rates, events without repeats, the log as files. Windows and watermarks are extensions of our own."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +14,6 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.withColumn("at", F.col("ts").cast("timestamp")).withColumn("page_num", F.get_json_object("props", "$.k").cast("long"))
 
 
-def page_progress(events: DataFrame) -> DataFrame:
-    """State of each run and page: its last event wins."""
-    return events.groupBy(F.col("user_id").alias("run_id"), "page_num").agg(F.max("event_id").alias("id"), F.max_by("event_type", "event_id").alias("stage"))
-
-
 def rolling_rate(events: DataFrame, late: str = "10 minutes", size: str = "60 seconds", slide: str = "20 seconds") -> DataFrame:
     """Calls and tokens of each stage in sliding windows; events later than the watermark are dropped."""
     return events.withWatermark("at", late).groupBy(F.window("at", size, slide), "event_type").agg(F.count("*").alias("calls"), F.sum("page_num").alias("tokens"))
@@ -32,18 +24,6 @@ def first_seen(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("at", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Everything there is by now, through a memory table; for tests and small results."""
-    spark, name = stream.sparkSession, f"s{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = base or tempfile.mkdtemp(prefix="pageline-stream-")
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
-
-
 def append_events(stream: DataFrame, path: str, checkpoint: str):
     """The log as files, appended exactly once."""
     return stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,5 @@
 import datetime as dt
 import random
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +7,6 @@ from pyspark.sql import functions as F
 from pageline import schemas
 from pageline.config import Config, load_config
 from pageline.operators import cachekeys, retention, runs, status, trace
-from pageline.streaming import retry
-from pageline.streaming.limiter import Limiter
 
 T0 = dt.datetime(2025, 9, 13, 10, 0, 0)
 
@@ -35,7 +32,6 @@ def test_errors_and_retries(spark):
     rows = [("service", 503, ""), ("service", 429, "slow"), ("service", 429, "quota exceeded per day"), ("service", 404, ""), ("transport", None, ""), ("own", None, "")]
     df = spark.createDataFrame(rows, "k string, c int, m string")
     assert [r[0] for r in df.select(trace.classify_error(F.col("k"), F.col("c"), F.col("m"))["retryable"]).collect()] == [True, True, False, False, True, False]
-    assert trace.retry_ladder() == [(1, 4.0), (2, 8.0), (3, 16.0)]
 
 
 def test_page_status_and_failed_pages_differ_on_purpose(spark):
@@ -66,38 +62,6 @@ def test_cache_keys_and_retention(spark):
         retention.checked_partition("../x", "2025-09-13")
 
 
-def test_limiter():
-    now = [0.0]
-    limiter = Limiter(Config(requests_per_minute=2, tokens_per_minute=100), clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
-    with limiter.call(60) as r:
-        r.correct(5)
-    with limiter.call(60):
-        pass
-    assert limiter.usage() == (2, 65)
-    with limiter.call(10):
-        assert now[0] > 60
-    with pytest.raises(ValueError):
-        with limiter.call(101):
-            pass
-
-
-def test_limiter_holds_its_ceilings_with_many_threads():
-    import threading
-
-    limiter = Limiter(Config(requests_per_minute=1000, tokens_per_minute=100), concurrent=16, window=0.2, sleep=lambda s: time.sleep(0.002))
-    seen = []
-
-    def work():
-        for _ in range(4):
-            with limiter.call(40):
-                seen.append(limiter.usage()[1])
-
-    threads = [threading.Thread(target=work) for _ in range(16)]
-    [t.start() for t in threads]
-    [t.join() for t in threads]
-    assert len(seen) == 64 and max(seen) <= 100
-
-
 def test_rows_of_one_stage_are_dealt_over_slices(spark):
     rng = random.Random(3)
     at = sorted(rng.randrange(20_000) for _ in range(900))
@@ -106,39 +70,15 @@ def test_rows_of_one_stage_are_dealt_over_slices(spark):
     assert got == {k: (sum(a - 60 <= b <= a for b in at), sum(b for b in at if a - 60 <= b <= a)) for k, a in enumerate(at)}
 
 
-def test_calls_are_tried_again_as_the_ladder_says():
-    class Dice(random.Random):
-        def uniform(self, a, b):
-            return (a + b) / 2
-
-    def run(*errors):
-        slept, left, record = [], list(errors), retry.Record()
-
-        def make():
-            if left:
-                raise left.pop(0)
-            return "answer"
-
-        try:
-            return retry.call(make, sleep=slept.append, rng=Dice(), record=record), slept, record.attempt_count
-        except Exception as e:  # noqa: BLE001
-            return type(e).__name__, slept, record.attempt_count
-
-    down, quota = (lambda: retry.ServiceError("down", 503)), (lambda **k: retry.ServiceError("slow down", 429, **k))
-    assert run() == ("answer", [], 1)
-    assert run(down(), retry.ServiceError("cut"), down()) == ("answer", [4.0, 8.0, 16.0], 4)
-    assert run(*(down() for _ in range(4))) == ("ServiceError", [4.0, 8.0, 16.0], 4)
-    assert run(retry.ServiceError("bad", 404)) == ("ServiceError", [], 1)
-    assert run(quota()) == ("answer", [60.0], 2)
-    assert run(quota(retry_after="41s")) == ("answer", [41.0], 2) and run(quota(retry_after=500)) == ("answer", [90.0], 2)
-    assert run(quota(), quota()) == ("ServiceError", [60.0], 2)
-    assert run(retry.ServiceError("quota exceeded: requests per day", 429)) == ("DailyQuota", [], 1)
-    assert run(ValueError("own")) == ("ValueError", [], 1)
-    assert [retry.asked_delay(x) for x in (None, 3, "4.5s", "7", "soon")] == [None, 3, 4.5, 7.0, None]
+def test_state_as_it_stood(spark):
+    calls = spark.createDataFrame([(1, 10, "a"), (1, 20, "b"), (1, 30, None), (2, 5, "c")], "k int, t int, v string")
+    asked = spark.createDataFrame([(1, 9), (1, 10), (1, 25), (1, 31), (2, 6), (3, 1)], "k int, t int")
+    got = trace.as_of(asked, calls, ["k"], ["t"], F.struct("v"), "s")
+    assert {(r.k, r.t): r.s and r.s.v for r in got.collect()} == {(1, 9): None, (1, 10): "a", (1, 25): "b", (1, 31): None, (2, 6): "c", (3, 1): None}
 
 
 def test_the_ladder_as_a_table(spark):
-    assert [tuple(r) for r in retry.ladder_table(spark).orderBy("attempt").collect()] == [(1, 4.0, 2.0, 6.0), (2, 8.0, 4.0, 12.0), (3, 16.0, 8.0, 24.0)]
+    assert [tuple(r) for r in trace.retry_ladder(spark).orderBy("attempt").collect()] == [(1, 4.0, 2.0, 6.0), (2, 8.0, 4.0, 12.0), (3, 16.0, 8.0, 24.0)]
 
 
 def test_runs_open_and_close_in_the_log(spark):
