@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from pageline.functions.text import STOPWORDS, first_words, squeezed, topic_words
 from pageline.functions.text import same_story as stories_alike
-from pageline.operators import canary, ranges, ranking, scan, status, trace
+from pageline.operators import canary, incremental, ranges, ranking, scan, status, trace
 from pageline.operators.retention import expired
 from pageline.operators.cachekeys import page_key, ranking_key, short_hash
 from pageline.operators.lines import first_most_frequent
@@ -555,3 +555,22 @@ def attempts_as_of(spark: SparkSession, d: str) -> DataFrame:
     errors = events(spark, d).filter("is_error and page_num is not null")
     out = trace.as_of(errors, counted, ["run_id", "page_num"], ["started_at", "id"], state, "s")
     return out.select("id", "run_id", "page_num", F.coalesce("s.calls_before", F.lit(0)).alias("calls_before"), "s.last_call")
+
+
+@query(
+    """WITH t AS (SELECT doc_id, text, length(text) AS n_chars, len(string_split(text, chr(10))) AS n_lines FROM documents), o AS (SELECT DISTINCT text FROM t WHERE doc_id % 10 <> 0 AND text IS NOT NULL)
+    SELECT doc_id, CAST(t.n_chars AS INTEGER) AS n_chars, CAST(n_lines AS INTEGER) AS n_lines, o.text IS NOT NULL AS hit FROM t LEFT JOIN o ON o.text = t.text"""
+)
+def incremental_pages(spark: SparkSession, d: str) -> DataFrame:
+    """OC1 to OC4: nine documents in ten, then all of them: the second run works on what the first has not seen, and both give the same."""
+    docs = table(spark, d, "documents").select("doc_id", "text").withColumn("key", F.sha2("text", 256))
+    cache = incremental.ResultCache(spark, f"page_cache_{uuid.uuid4().hex}")
+
+    def compute(todo: DataFrame) -> DataFrame:
+        return todo.select("key", F.length("text").alias("n_chars"), F.size(F.split("text", "\n", -1)).alias("n_lines"))
+
+    try:
+        incremental.run(docs.filter("doc_id % 10 <> 0"), cache, compute)
+        return incremental.run(docs, cache, compute).select("doc_id", "n_chars", "n_lines", "hit")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {cache.table}")
