@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pageline.config import Config
 from pageline.functions.text import page_list as parse_pages
-from pageline.operators import lifecycle, masthead, ranking, retention, runs, status, views
+from pageline.operators import lifecycle, masthead, ranking, retention, runs, status, trace, views
 from pageline.plans.bindings import EVENTS_SQL, HEADS_SQL, events, first_lines
 from pageline.plans.register import Registry
 from pageline.sources.tables import table
@@ -350,3 +350,43 @@ def category_view(spark: SparkSession, d: str) -> DataFrame:
     """PF21: what of a ranking is of one category, in its order."""
     ranked = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("category"), F.col("o_orderkey").alias("rank"), F.col("o_orderkey").alias("pos"))
     return views.by_category(ranked, "1-URGENT").select("o_orderkey", "category")
+
+
+# Rows of operators that no other query reaches -------------------------------------------------------------------------
+
+
+@query(f"WITH {EVENTS_SQL} SELECT run_id, count(*) AS n_events, count(*) FILTER (is_error) AS n_raw FROM e WHERE NOT (run_id % 10 = 3 AND run_id % 3 = 1) GROUP BY run_id")
+def deleted_runs(spark: SparkSession, d: str) -> DataFrame:
+    """SK9, JN16: what is left of all runs, their events and raw answers once the runs of one edition are deleted."""
+    e = events(spark, d)
+    about = e.select("run_id", F.concat(F.lit("e"), F.col("run_id") % 10).alias("edition"), F.concat(F.lit("d"), F.col("run_id") % 3).alias("date")).distinct()
+    kept, log, raw = trace.delete_runs(about, e, e.filter("is_error"), "e3", "d1")
+    counted = log.groupBy("run_id").agg(F.count("*").alias("n_events")).join(raw.groupBy("run_id").agg(F.count("*").alias("n_raw")), "run_id", "left")
+    return kept.select("run_id").join(counted, "run_id").fillna(0, ["n_raw"]).select("run_id", "n_events", "n_raw")
+
+
+@query(f"WITH {EVENTS_SQL} SELECT run_id, coalesce(nullif(arg_max(page_num, id), 0), 1) AS page_num FROM e GROUP BY run_id")
+def last_attempts(spark: SparkSession, d: str) -> DataFrame:
+    """JN18: the page of each run's last event, as the number of its last attempt; none or 0 counts as 1."""
+    return trace.last_before(events(spark, d), ["run_id"], "page_num", "id")
+
+
+@query(
+    """WITH x AS (SELECT l_suppkey AS k, (l_orderkey + l_linenumber) % 40 + 1 AS page_num, l_returnflag AS f FROM lineitem),
+    g AS (SELECT k, count(*) AS article_count, count(DISTINCT page_num) AS pages FROM x WHERE f = 'N' GROUP BY 1), r AS (SELECT k, string_agg(DISTINCT page_num, ',' ORDER BY page_num) AS failed FROM x WHERE f = 'R' GROUP BY 1),
+    o AS (SELECT o_custkey AS k, max(o_orderkey) AS run_id, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1)
+    SELECT 's' || s_suppkey AS edition, o.run_id, o.status, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 45 ELSE g.pages END AS INTEGER) AS page_count, coalesce(article_count, 0) AS article_count, coalesce(failed, '') AS failed_pages
+    FROM supplier LEFT JOIN g ON g.k = s_suppkey LEFT JOIN r ON r.k = s_suppkey LEFT JOIN o ON o.k = s_suppkey"""
+)
+def edition_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """JN14, SL3: each edition with its last run, pages, articles and failed pages."""
+    x = _edition_pages(spark, d)
+    named = lambda k: (F.concat(F.lit("s"), F.col(k)).alias("edition"), F.lit("d").alias("date"))
+    made, failed = x.filter("l_returnflag = 'N'"), x.filter("l_returnflag = 'R'")
+    editions = table(spark, d, "supplier").select("s_suppkey", *named("s_suppkey"))
+    manifest = editions.filter("s_suppkey % 3 = 0").select("edition", "date", F.lit(45).alias("page_count"))
+    jobs = spark.createDataFrame([], "edition string, date string, pages_total int")
+    log = table(spark, d, "orders").select(*named("o_custkey"), F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"), F.lit(0).alias("total_tokens"), F.timestamp_micros("o_orderkey").alias("started_at"))
+    out = status.edition_summary(editions.drop("s_suppkey"), log, status.page_counts(manifest, jobs, made), made, failed)
+    pages = F.coalesce(F.array_join(F.transform("failed_pages", lambda v: v.cast("string")), ","), F.lit(""))
+    return out.select("edition", "run.run_id", "run.status", "page_count", "article_count", pages.alias("failed_pages"))
