@@ -408,6 +408,29 @@ def test_only_texts_in_pairs_travel(spark):
     assert set(range(0, 5000, 97)) <= sent and len(sent) < 800
 
 
+def test_members_of_large_groups_are_told_once_by_their_lead():
+    """A document that shares many entries with its family was one row for each of them, and a join on entries met all of these again."""
+    sets = [np.concatenate([np.arange(100, 140, dtype=np.uint64), np.arange(k * 1000 + 1000, k * 1000 + 1010, dtype=np.uint64)]) << np.uint64(40) for k in range(20)]
+    blob = jaccard._six(np.concatenate(sets) >> np.uint64(16) & ~np.uint64(3))
+    ids, n = np.arange(20, dtype="<i8"), np.full(20, 50, "<u4")
+    data = struct.pack("<II", 20, 1000) + jaccard._bytes_apart(ids) + jaccard._bytes_apart(n) + jaccard._bytes_apart(n * 0) + jaccard._bytes_apart(n) + ids.astype("<u8").tobytes() + blob
+    _, members = jaccard._groups([data], 75, 4)
+    assert members.tolist() == [[0, k, 40] for k in range(20)]
+
+
+def test_copies_are_no_part_of_the_index(spark, docs):
+    """Of equal sets the first one is indexed; the result is what it was."""
+    rng = random.Random(34)
+    base = [prose(rng, 40) for _ in range(30)]
+    texts = base * 20 + [b + " and more" for b in base]
+    df = spark.read.parquet(f"{docs(texts)}/documents.parquet")
+    narrow = jaccard._counted(df)[0]
+    kinds = narrow.groupBy("digest", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    left = {r.doc_id for r in jaccard._first_of_equals(df, kinds).collect()}
+    assert {r["first"] for r in kinds.collect()} <= left and len(left) < 100
+    assert [(r["n_shingles"], r["component_id"]) for r in rows(jaccard.link_documents(df), "doc_id")] == linked(texts)
+
+
 def test_large_components_meet_what_is_outside_and_not_themselves(spark, docs, monkeypatch):
     """A family of near copies: one large component, some documents of it that no link reaches. Counts the texts that travel."""
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", 50)
