@@ -418,6 +418,26 @@ def test_members_of_large_groups_are_told_once_by_their_lead():
     assert members.tolist() == [[0, k, 40] for k in range(20)]
 
 
+def test_candidates_do_not_grow_with_shuffle_partitions(spark, docs, monkeypatch):
+    """A pair was told in every part where it met, and there were as many parts as shuffle partitions; the lowest document of a large
+    group and each other one were told as a pair and as members."""
+    rng = random.Random(35)
+    base = prose(rng, 60).split()
+    texts = [" ".join([*base, f"u{k}"]) for k in range(200)]
+    df = spark.read.parquet(f"{docs(texts)}/documents.parquet")
+    real, made = jaccard._candidates, []
+    monkeypatch.setattr(jaccard, "_candidates", lambda *a: made.append((found := real(*a)).groupBy("kind").count().collect()) or found)
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (2, 150):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert [(r["n_shingles"], r["component_id"]) for r in rows(jaccard.link_documents(df), "doc_id")] == linked(texts)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    few, many = ({r.kind: r["count"] for r in m} for m in made)
+    assert few == many and not few.get(0)
+
+
 def test_copies_are_no_part_of_the_index(spark, docs):
     """Of equal sets the first one is indexed; the result is what it was."""
     rng = random.Random(34)
