@@ -31,19 +31,32 @@ def parse_masthead(lines: DataFrame, keys: Sequence[str] = ("edition_file",)) ->
     )
 
 
+def prompt_row(line: Column) -> Column:
+    """The row that an annotator sees of a line: number, size, D for a drop cap, the text as it stands."""
+    cap = line["flags"]["single_glyph"] & line["flags"]["size_outlier"]
+    return F.concat_ws("|", F.format_string("L%04d", line["line_no"]), F.format_string("%.1f", line["font_profile"]["size"]), F.when(cap, "D").otherwise("-"), F.coalesce(line["text"], F.lit("")))
+
+
 def prompt_rows(lines: DataFrame) -> DataFrame:
-    """``lines`` with the row that an annotator sees: number, size, D for a drop cap, the text as it stands."""
-    cap = F.col("flags.single_glyph") & F.col("flags.size_outlier")
-    row = F.concat_ws("|", F.format_string("L%04d", "line_no"), F.format_string("%.1f", "font_profile.size"), F.when(cap, "D").otherwise("-"), F.coalesce("text", F.lit("")))
-    return lines.withColumn("prompt_row", row)
+    """``lines`` with the row that an annotator sees of each."""
+    return lines.withColumn("prompt_row", prompt_row(F.struct("line_no", "text", "font_profile", "flags")))
+
+
+def _prompt_of(rows: Column, number: Column, modal: Column) -> Column:
+    head = F.format_string("PAGE %s | modal_body_font_size=%.1fpt | %d lines\n", number.cast("string"), F.coalesce(modal, F.lit(0.0)), F.size(rows))
+    return F.concat(head, F.array_join(rows, "\n"))
+
+
+def page_prompt(lines: Column, number: Column, modal: Column) -> Column:
+    """What an annotator is given of a page whose lines are an array in their order: the rows of ``prompt``, which has them one by one."""
+    return _prompt_of(F.transform(lines, prompt_row), number, modal)
 
 
 def prompt(lines: DataFrame, modal: DataFrame, keys: Sequence[str] = ("page_num",)) -> DataFrame:
     """What an annotator is given of each page: a header with its number, modal size (``modal``: keys, modal_size) and lines, and its rows in order."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "prompt_row"))), lambda x: x["prompt_row"])
-    told = prompt_rows(lines).groupBy(*keys).agg(F.array_join(rows, "\n").alias("_rows"), F.count("*").alias("_n")).join(modal, list(keys), "left")
-    head = F.format_string("PAGE %s | modal_body_font_size=%.1fpt | %d lines\n", F.col(keys[-1]).cast("string"), F.coalesce("modal_size", F.lit(0.0)), F.col("_n"))
-    return told.select(*keys, F.concat(head, F.col("_rows")).alias("prompt"))
+    told = prompt_rows(lines).groupBy(*keys).agg(rows.alias("_rows")).join(modal, list(keys), "left")
+    return told.select(*keys, _prompt_of(F.col("_rows"), F.col(keys[-1]), F.col("modal_size")).alias("prompt"))
 
 
 def ranking_prompt(corpus: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

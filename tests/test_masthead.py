@@ -22,3 +22,11 @@ def test_prompt_rows_and_viewport(spark):
     assert masthead.prompt(df, modal).first().prompt == "PAGE 1 | modal_body_font_size=9.0pt | 2 lines\nL0001|9.0|-|hello world\nL0002|37.0|D|D"
     box = df.limit(1).select(masthead.viewport_box(F.struct(F.lit(265.75).alias("x0"), F.lit(336.303).alias("top"), F.lit(834.55).alias("x1"), F.lit(378.147).alias("bottom")), F.lit(1530.71), F.lit(1.0)).alias("b")).first().b
     assert [round(v, 3) for v in box] == [265.75, 336.303, 568.8, 41.844]
+
+
+def test_prompts_need_no_exchange_of_lines(spark, sf_dir):
+    """A page's lines stood together, were written one by one, exchanged and sorted together again."""
+    from pageline.plans import pages
+
+    plan = pages.page_prompts(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
