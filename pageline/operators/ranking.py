@@ -10,8 +10,10 @@ from pyspark.sql.window import Window
 
 from pageline.config import Config
 from pageline.functions.text import first_words, same_story, topic_words, words
+from pageline.operators import stories
 from pageline.operators.masthead import corrections, ranking_prompt
 from pageline.operators.scan import before
+from pageline.sources.scratch import written
 
 #: Fixed values.
 CATEGORIES = (
@@ -91,11 +93,16 @@ def not_falling(df: DataFrame, keys: list[str], rank, pos: str, score: str, keep
 def duplicate_continuations(ranked: DataFrame, corpus: DataFrame, config: Config = Config(), keys: Sequence[str] = ()) -> DataFrame:
     """Ranked articles and the ranked head on the page where they go on, if both tell the same story."""
     keys = list(keys)
-    rows = ranked.select(*keys, "article_id").distinct().join(corpus, [*keys, "article_id"]).withColumn("_w", topic_words(F.col("headline")))
-    a = rows.select(*keys, F.col("article_id").alias("article_id"), F.col("continues_on_page").alias("page"), F.col("_w").alias("_wa"))
+    rows = ranked.select(*keys, "article_id").distinct().join(corpus, [*keys, "article_id"])
+    rows = written(rows.select(*keys, "article_id", "page", "continues_on_page", topic_words(F.col("headline")).alias("_w")), "ranked-words")
+    a = rows.filter("continues_on_page is not null").select(*keys, "article_id", F.col("continues_on_page").alias("page"), F.col("_w").alias("_wa"))
     b = rows.select(*keys, F.col("article_id").alias("continuation_id"), "page", F.col("_w").alias("_wb"))
-    same = same_story(F.col("_wa"), F.col("_wb"), config.least_shared_words, config.least_shared_ratio)
-    return a.join(b, [*keys, "page"]).filter((F.col("article_id") != F.col("continuation_id")) & same).select(*keys, "article_id", "continuation_id", "page")
+    # a page of a large edition has many heads, so only those meet that share words, see stories.candidates
+    by, rule = [*keys, "page"], (config.least_shared_words, config.least_shared_ratio)
+    heads, tails = a.select(*by, F.col("article_id").alias("id"), F.col("_wa").alias("w")), b.select(*by, F.col("continuation_id").alias("id"), F.col("_wb").alias("w"))
+    near = stories.candidates(heads, tails, by, *rule).toDF(*by, "article_id", "continuation_id")
+    near = near.unionByName(stories.candidates(tails, heads, by, *rule, strictly=True).toDF(*by, "continuation_id", "article_id"))
+    return near.join(a, [*by, "article_id"]).join(b, [*by, "continuation_id"]).filter(same_story(F.col("_wa"), F.col("_wb"), *rule)).select(*keys, "article_id", "continuation_id", "page")
 
 
 def enrich(entries: DataFrame, corpus: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
