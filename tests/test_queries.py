@@ -50,3 +50,19 @@ def test_entry(spark, sf_dir):
 
 def test_top_n_does_not_sort_everything(spark, sf_dir):
     assert "TakeOrderedAndProject" in registry.QUERIES["topn"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_of_a_headline_are_compared_once(spark, tmp_path, monkeypatch):
+    """Each pair of documents was a candidate of its own."""
+    from pageline.operators import stories
+
+    heads = [(k, ("Rain floods old town", "old TOWN rain, again!", "One", None)[k % 4], None if k % 40 == 0 else "ab"[k // 100]) for k in range(200)]
+    spark.createDataFrame([(k, None if h is None else f"{h}\nmore", "en", s) for k, h, s in heads], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    real, made = stories.candidates, []
+    monkeypatch.setattr(stories, "candidates", lambda *a, **b: made.append(real(*a, **b).count()) or real(*a, **b))
+    monkeypatch.setattr(stories, "LIST", 7, raising=False)
+    got = registry.QUERIES["same_story"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(con.execute(registry.ORACLES["same_story"]).df()) and len(got) == 2209
+    assert made == [2]
